@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, secrets
+from . import htmltext, langid, pieces, secrets
 from .common import documents
 
 
@@ -10,9 +10,17 @@ def op2_language_id(spark, sf_dir):
     return langid.language_digest(documents(spark, sf_dir))
 
 
+def op5_sentencepiece(spark, sf_dir):
+    return pieces.pieces_digest(documents(spark, sf_dir))
+
+
 def op6_secret_scan(spark, sf_dir):
     return secrets.secrets_digest(documents(spark, sf_dir))
 
 
+def op9_main_text(spark, sf_dir):
+    return htmltext.pages_digest(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {k: f for k, f in globals().items() if k.startswith("op")}
 ORACLES: dict[str, str] = {}
