@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmltext, langid, pieces, secrets
+from . import exactdedup, htmltext, langid, linededup, pieces, secrets
 from .common import documents
 
 
@@ -18,9 +18,17 @@ def op6_secret_scan(spark, sf_dir):
     return secrets.secrets_digest(documents(spark, sf_dir))
 
 
+def op7_line_dedup(spark, sf_dir):
+    return linededup.lines_digest(documents(spark, sf_dir))
+
+
+def op8_exact_dedup(spark, sf_dir):
+    return exactdedup.exact_groups(documents(spark, sf_dir))
+
+
 def op9_main_text(spark, sf_dir):
     return htmltext.pages_digest(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 QUERIES = {k: f for k, f in globals().items() if k.startswith("op")}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_line_dedup": linededup.ORACLE, "op8_exact_dedup": exactdedup.ORACLE}
