@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdedup, htmltext, langid, linededup, pieces, secrets
+from . import exactdedup, htmltext, langid, linededup, pieces, pii, secrets
 from .common import documents
 
 
@@ -10,6 +10,10 @@ def op2_language_id(spark, sf_dir):
     return langid.language_digest(documents(spark, sf_dir))
 
 
+def op3_private_data(spark, sf_dir):
+    return pii.private_digest(documents(spark, sf_dir))
+
+
 def op5_sentencepiece(spark, sf_dir):
     return pieces.pieces_digest(documents(spark, sf_dir))
 
