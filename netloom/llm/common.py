@@ -21,7 +21,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _rng = np.random.Generator(np.random.Philox(key=20240607))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_LOWER = _BYTE[LOWER]
-_BASE = int(_rng.integers(1 << 60, 1 << 63)) * 8 + 5
+_BASE = (int(_rng.integers(1 << 60, 1 << 61)) * 8 + 5) & 0xFFFFFFFFFFFFFFFF
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
@@ -89,7 +89,7 @@ def _power(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         size = max(n, STEP_BYTES + (1 << 17))
         with np.errstate(over="ignore"):
-            have = np.full(size, base, np.uint64)
+            have = np.full(size, np.uint64(base))
             have[0] = 1
             have = np.multiply.accumulate(have)
         if size > 16 * STEP_BYTES:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exactdedup, htmltext, langid, linededup, pieces, pii, secrets
+from . import exactdedup, htmltext, langid, linededup, ngramjoin, pieces, pii, secrets
 from .common import documents
 
 
+def op1_ngram_jaccard(spark, sf_dir):
+    return ngramjoin.jaccard_components(documents(spark, sf_dir))
+
+
 def op2_language_id(spark, sf_dir):
     return langid.language_digest(documents(spark, sf_dir))
 
