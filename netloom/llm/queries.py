@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdedup, htmltext, langid, linededup, ngramjoin, pieces, pii, secrets
+from . import decontaminate, exactdedup, htmltext, langid, linededup, ngramjoin, pieces, pii, secrets
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op3_private_data(spark, sf_dir):
     return pii.private_digest(documents(spark, sf_dir))
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.leaks_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_sentencepiece(spark, sf_dir):
     return pieces.pieces_digest(documents(spark, sf_dir))
 
