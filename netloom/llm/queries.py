@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exactdedup, htmltext, langid, linededup, ngramjoin, pieces, pii, secrets
+from . import contexttree, decontaminate, exactdedup, htmltext, langid, linededup, ngramjoin, pieces, pii, secrets
 from .common import documents
 
 
@@ -42,5 +42,9 @@ def op9_main_text(spark, sf_dir):
     return htmltext.pages_digest(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_context_tree(spark, sf_dir):
+    return contexttree.scored(documents(spark, sf_dir))
+
+
 QUERIES = {k: f for k, f in globals().items() if k.startswith("op")}
 ORACLES = {"op7_line_dedup": linededup.ORACLE, "op8_exact_dedup": exactdedup.ORACLE}
