@@ -113,6 +113,22 @@ class Items:
         self.filter[(self.seeds >> np.uint64(42)).astype(np.int64)] = True
 
 
+def matches(texts: pa.Array, items: Items, least: int):
+    """(row, number of the item, tiles, the item's words) for each text and item that share a seed."""
+    for at, _, data, offsets in steps(texts):
+        hashes, _, _, first = words(data, offsets)
+        if len(hashes) < least:
+            continue
+        found, edge = shingles(hashes, first, least)
+        hits = np.flatnonzero(items.filter[(found >> np.uint64(42)).astype(np.int64)])
+        low, high = np.searchsorted(items.seeds, found[hits], "left"), np.searchsorted(items.seeds, found[hits], "right")
+        pairs = {(int(d), int(o)) for d, a, z in zip(np.searchsorted(edge, hits, "right") - 1, low, high, strict=True) for o in items.owners[a:z]}
+        for d, o in sorted(pairs):
+            t = tiles(items.words[o], hashes[first[d] : first[d + 1]].tolist(), least)
+            if t:
+                yield at + d, o, t, items.words[o]
+
+
 def coverage(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, th, item_id, n_tiles, covered, item_words): for each document (id and hash of its text) and item that share a seed the words of the item in tiles."""
     out = None
@@ -123,20 +139,9 @@ def coverage(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, bloc
             names = ["id", "th", "item_id", "n_tiles", "covered", "item_words"]
             for b in batches:
                 result = [[] for _ in names]
-                for at, _, data, offsets in steps(b.column(2)):
-                    hashes, _, _, first = words(data, offsets)
-                    if len(hashes) < least:
-                        continue
-                    found, edge = shingles(hashes, first, least)
-                    hits = np.flatnonzero(items.filter[(found >> np.uint64(42)).astype(np.int64)])
-                    low, high = np.searchsorted(items.seeds, found[hits], "left"), np.searchsorted(items.seeds, found[hits], "right")
-                    pairs = {(int(d), int(o)) for d, a, z in zip(np.searchsorted(edge, hits, "right") - 1, low, high, strict=True) for o in items.owners[a:z]}
-                    for d, o in sorted(pairs):
-                        item = items.words[o]
-                        t = tiles(item, hashes[first[d] : first[d + 1]].tolist(), least)
-                        if t:
-                            for column, value in zip(result, (b.column(0)[at + d].as_py(), b.column(1)[at + d].as_py(), items.ids[o], len(t), sum(x[2] for x in t), len(item)), strict=True):
-                                column.append(value)
+                for d, o, t, item in matches(b.column(2), items, least):
+                    for column, value in zip(result, (b.column(0)[d].as_py(), b.column(1)[d].as_py(), items.ids[o], len(t), sum(x[2] for x in t), len(item)), strict=True):
+                        column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in result], names=names)
 
         found = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(compare, "id long, th long, item_id long, n_tiles long, covered long, item_words long")
@@ -172,6 +177,18 @@ def leaks_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items", F.round("coverage", 6).alias("coverage"))
 
 
-def leaks_filtered(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones."""
-    return contaminated(docs, benchmark).where(F.size("items") == 0).select(*docs.columns)
+def leaks_filtered(docs: DataFrame, benchmark: DataFrame, share: float = COVERAGE, least: int = MIN_MATCH) -> DataFrame:
+    """docs without the contaminated ones; each block of the benchmark is a filter over the rows, so nothing is moved."""
+    at = docs.columns.index("text")
+    for rows in blocks(benchmark, BLOCK_BYTES):
+        items = Items(rows, least)
+
+        def clean(batches, items=items):
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for d, _, t, item in matches(b.column(at), items, least):
+                    keep[d] &= sum(x[2] for x in t) < share * len(item)
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

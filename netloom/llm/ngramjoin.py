@@ -272,3 +272,9 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     of = classes.join(joined, F.col("rep") == F.col("id"), "left").select("h1", "h2", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component"), "class_size")
     on = (rows["h1"] == of["h1"]) & (rows["h2"] == of["h2"]) & (rows["n"] == of["size"]) & rows["id"].isNotNull()
     return rows.join(of, on, "left").select(rows["id"].alias(id_column), rows["n"].alias("n_shingles"), F.coalesce("component", rows["id"]).alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+
+
+def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs with the smallest doc_id of each group of near copies only (repeated rows are one document); rows with a null id, which aren't linked, stay."""
+    first = jaccard_components(docs.select("doc_id", "text"), size=size, percent=percent).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
