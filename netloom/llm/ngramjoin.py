@@ -30,6 +30,10 @@ COUNTERS = 1 << 16
 BUCKET = 5
 #: Members that are compared with one pivot in one run.
 RUN = 256
+#: Requests for texts that are broadcast, at most; more of them are joined.
+FEW = 20_000
+#: All pairs that large buckets leave are compared at once if they are at most so many for each document, else with one pivot after another.
+FEW_PAIRS = 16
 INDEX, PROBE = 1, 2
 _SPREAD, _NEAR = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -160,15 +164,16 @@ def counted(sets: DataFrame) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, size: int, scheme: Scheme, counts: np.ndarray) -> DataFrame:
-    """From small buckets pairs (a, b) of set hashes; from large ones (entry, pivot a, member b, n, role)."""
+    """From small buckets pairs (a, b) of ids; from large ones (entry, pivot a, member b, n, role). The pivot is the member with the least id: what others were copied from is likely older."""
 
     def index(batches):
         for b in batches:
             keys, n, entries, roles = [], [], [], []
-            for s in shingle_sets(b.column(0), size):
+            ids = b.column(0).to_pylist()
+            for k, s in enumerate(shingle_sets(b.column(1), size)):
                 if len(s):
                     e, r = scheme.entries(s, counts)
-                    keys.append(int(mix(s).sum(dtype=np.uint64)))
+                    keys.append(ids[k])
                     n.append(len(s))
                     entries.append(e.view(np.int64))
                     roles.append(r)
@@ -180,10 +185,10 @@ def candidates(docs: DataFrame, size: int, scheme: Scheme, counts: np.ndarray) -
 
     def pack(keys, n, entries, roles):
         edge = pa.array(np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32))
-        columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(n, np.int32)), pa.ListArray.from_arrays(edge, pa.array(np.concatenate(entries))), pa.ListArray.from_arrays(edge, pa.array(np.concatenate(roles)))]
+        columns = [pa.array(keys, pa.int64()), pa.array(np.array(n, np.int32)), pa.ListArray.from_arrays(edge, pa.array(np.concatenate(entries))), pa.ListArray.from_arrays(edge, pa.array(np.concatenate(roles)))]
         return pa.RecordBatch.from_arrays(columns, names=["b", "n", "entries", "roles"])
 
-    rows = docs.select("text").mapInArrow(index, "b long, n int, entries array<long>, roles array<tinyint>")
+    rows = docs.select("id", "text").mapInArrow(index, "b long, n int, entries array<long>, roles array<tinyint>")
     rows = rows.select("b", "n", F.explode(F.arrays_zip("entries", "roles")).alias("e")).select("b", "n", F.col("e.entries").alias("entry"), F.col("e.roles").alias("role"))
     group, order = Window.partitionBy("entry"), Window.partitionBy("entry").orderBy("b")
     before = [F.lag(F.struct("b", "n", "role"), k).over(order) for k in range(1, BUCKET)]
@@ -200,7 +205,9 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     runs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("runs"))
     asked = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), "runs").alias("run"), "b")
     asked = asked.select("a", "run", F.col("b").alias("id"), F.lit(False).alias("pivot")).union(asked.select("a", "run", F.col("a").alias("id"), F.lit(True)).distinct())
-    told = asked.join(docs.select("id", "text"), "id").repartition("a", "run").sortWithinPartitions("a", "run", F.desc("pivot"))
+    if asked.count() <= FEW:
+        asked = F.broadcast(asked)  # FEW rows of four short fields
+    told = docs.select("id", "text").join(asked, "id").select("a", "run", "id", "pivot", "text").repartition("a", "run").sortWithinPartitions("a", "run", F.desc("pivot"))
 
     def verify(batches):
         key, own = None, None
@@ -232,46 +239,46 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     known = base.where("id IS NOT NULL")
     sets = described(base, size, scheme)
     rows = sets.where("known").select("id", "n", "h1", "h2")
-    classes = written(rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("class_size")), "classes")
+    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("class_size"))
+    named = written(rows.join(classes, ["h1", "h2", "n"], "left").select("id", "n", "rep", "class_size"), "classes")
+    of = named.where("rep IS NOT NULL").select("id", "rep", "n").distinct()
     found = candidates(known, size, scheme, counted(sets))
 
-    def as_ids(pairs: DataFrame) -> DataFrame:
-        """Pairs of set hashes as pairs of ids; if a hash stands for several sets, all of them."""
-        left, right = classes.select(F.col("h1").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na")), classes.select(F.col("h1").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
-        out = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").where(f"ra <> rb AND greatest(na, nb) * {percent} <= 100 * least(na, nb)")
-        return written(out.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "pairs")
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The links among pairs of representatives (a, b) whose sizes allow one."""
+        return written(verified(written(pairs.distinct(), "pairs"), known, size, percent), "links")
 
-    links = written(verified(as_ids(found), known, size, percent), "links")
+    fits = "greatest({0}.n, {1}.n) * " + str(percent) + " <= 100 * least({0}.n, {1}.n)"
+    first = found.select("a", "b").distinct().join(of.alias("x"), F.col("a") == F.col("x.id")).join(of.alias("y"), F.col("b") == F.col("y.id")).where("x.rep <> y.rep AND " + fits.format("x", "y"))
+    links = compared(first.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")))
     joined = written(components(links), "components")
-    large = found.where("entry IS NOT NULL").select("entry", "a", "b", "n", "role")
-    # the pivot's own row, of whatever role
-    large = large.union(found.where("entry IS NOT NULL").select("entry", "a", F.col("a").alias("b"), F.col("pivot_n").alias("n"), F.lit(3).cast("tinyint")).distinct())
-    while not large.isEmpty():
-        of = classes.select(F.col("h1").alias("b"), "rep").join(joined, F.col("rep") == F.col("id"), "left").groupBy("b").agg(F.min(F.coalesce("component", "rep")).alias("c"))
-        member = large.join(of, "b")
-        mixed = member.groupBy("entry").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("entry")
-        large = written(member.join(mixed, "entry", "left_semi").select("entry", "a", "b", "n", "role", "c"), "large")
-        sums = large.groupBy("entry", "c").count().groupBy("entry").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
+    # what large buckets leave: members, by their representatives, that are in different components still
+    large = found.where("entry IS NOT NULL")
+    large = large.select("entry", "b", "role").union(large.select("entry", F.col("a").alias("b"), F.lit(3).cast("tinyint")).distinct())
+    large = large.join(of, F.col("b") == F.col("id")).groupBy("entry", F.col("rep").alias("b")).agg(F.max("n").alias("n"), F.bit_or("role").alias("role"))
+    while True:
+        member = large.join(joined, F.col("b") == F.col("id"), "left").select("entry", "b", "n", "role", F.coalesce("component", "b").alias("c"))
+        mixed = member.groupBy("entry").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("b").alias("p")).where("low < high").select("entry", "p")
+        large = written(member.join(mixed, "entry"), "large")
+        sums = large.where("b > p").groupBy("entry", "c").count().groupBy("entry").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
         left = sums.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
         if not left:
             break
-        one, two = large.alias("x"), large.alias("y")
-        fits = F.expr(f"x.c <> y.c AND x.b < y.b AND x.role | y.role = 3 AND greatest(x.n, y.n) * {percent} <= 100 * least(x.n, y.n)")
-        if left <= 4 * max(100_000, rows.count()):
-            pairs, last = one.join(two, "entry").where(fits & F.expr("x.a <> x.b")).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")), True
+        large = large.where("b > p").drop("p")
+        if left <= FEW_PAIRS * named.count():
+            pairs = large.alias("x").join(large.alias("y"), "entry").where("x.b < y.b AND x.c <> y.c AND x.role | y.role = 3 AND " + fits.format("x", "y"))
+            pairs = pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
         else:
-            pivot = large.where("b > a").groupBy("entry").agg(F.min(F.struct("b", "n", "c", "role")).alias("p"))
-            large = written(large.where("b > a").join(pivot, "entry").select("entry", F.col("p.b").alias("a"), "b", "n", "role", "c", "p"), "large")
-            pairs, last = large.where(f"b <> a AND c <> p.c AND greatest(n, p.n) * {percent} <= 100 * least(n, p.n)").select("a", "b"), False
-        more = written(verified(as_ids(pairs), known, size, percent), "links")
-        links = links.union(more)
+            pivots = large.groupBy("entry").agg(F.min(F.struct("b", "n", "c", "role")).alias("p"))
+            pairs = large.alias("x").join(pivots.select("entry", "p.*").alias("y"), "entry").where("x.b <> y.b AND x.c <> y.c AND x.role | y.role = 3 AND " + fits.format("x", "y"))
+            pairs = pairs.select(F.col("y.b").alias("a"), F.col("x.b").alias("b"))
+        links = links.union(compared(pairs))
         joined = written(components(links), "components")
-        if last:
+        if left <= FEW_PAIRS * named.count():
             break
-        large = large.select("entry", "a", "b", "n", "role")
-    of = classes.join(joined, F.col("rep") == F.col("id"), "left").select("h1", "h2", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component"), "class_size")
-    on = (rows["h1"] == of["h1"]) & (rows["h2"] == of["h2"]) & (rows["n"] == of["size"]) & rows["id"].isNotNull()
-    return rows.join(of, on, "left").select(rows["id"].alias(id_column), rows["n"].alias("n_shingles"), F.coalesce("component", rows["id"]).alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+        large = large.select("entry", "b", "n", "role")
+    parts = joined.select(F.col("id").alias("_rep"), "component")
+    return named.join(parts, F.col("rep") == F.col("_rep"), "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
