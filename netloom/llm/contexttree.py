@@ -61,6 +61,8 @@ def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def _distinct(key: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray]:
+    if not len(key):
+        return key, np.zeros(0, np.int64)
     key = np.sort(key)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     return key[first], np.diff(np.concatenate([first, [len(key)]])) * train
