@@ -542,3 +542,68 @@ def camel_case(spark, d):
 @query("SELECT DISTINCT ((round_even(i * 63.0 / 6, 0)::BIGINT) % 8)::BIGINT AS x, (round_even(i * 63.0 / 6, 0)::BIGINT // 8)::BIGINT AS y FROM range(7) t(i)")
 def equispaced_points(spark, d):
     return scalar.equispaced(spark, 8, 8, 7)
+
+
+# ---- partitioners and placers
+
+
+def _hardware(g):
+    return fx.hardware(g)
+
+
+@query(
+    "+pins2 AS (SELECT he_id, dst, lag(dst) OVER (PARTITION BY he_id ORDER BY dst) prev FROM pins), fr AS (SELECT s.node s, p.dst v, count(*) a FROM pins2 p JOIN nodes s ON s.node <= p.dst AND s.node > p.dst - 64 AND (p.prev IS NULL OR p.prev < s.node) GROUP BY 1, 2), sy AS (SELECT dst v, count(*) c FROM pins GROUP BY 1), "
+    "gr AS (SELECT s.node s, s.node + k v, sum(coalesce(fr.a, 0)) OVER (PARTITION BY s.node ORDER BY k) a, sum(coalesce(sy.c, 0)) OVER (PARTITION BY s.node ORDER BY k) c FROM nodes s CROSS JOIN range(64) t(k) LEFT JOIN fr ON fr.s = s.node AND fr.v = s.node + k LEFT JOIN sy ON sy.v = s.node + k), "
+    "nx AS (SELECT s, coalesce(min(v) FILTER (WHERE v > s AND (a > 1200 OR c > 1300)), s + 64) nxt FROM gr GROUP BY 1), st(node) AS (SELECT min(node) FROM nodes UNION SELECT nxt FROM st JOIN nx ON nx.s = st.node WHERE nxt <= (SELECT max(node) FROM nodes)) -- recursive\n SELECT n.node, count(*) - 1 AS part FROM nodes n JOIN st ON st.node <= n.node GROUP BY 1",
+    "basket",
+)
+def partition_sequential(spark, d):
+    from ..operators.hypergraph import Caps
+    from ..operators.partition import partition_sequential as run
+
+    return run(fx.basket(spark, d), Caps(64, 1200, 1300, 1 << 30))
+
+
+def _partitioner(name):
+    def run(spark, d):
+        from .pipeline import partitioned
+
+        g = fx.basket(spark, d)
+        return partitioned(g, _hardware(g), name)
+
+    run.__name__ = f"partition_{name}"
+    query()(run)
+
+
+for _name in ("greedy", "edge_hiding", "hyperedge_hiding", "swap", "multistart", "similar", "multilevel"):
+    _partitioner(_name)
+
+
+@query()
+def heavy_edge_matching(spark, d):
+    from ..operators.partition import mutual_best
+
+    return mutual_best(scores.neighbor_weights(fx.basket(spark, d)))
+
+
+def _placer(name):
+    def run(spark, d):
+        from ..operators import place
+
+        g, _, hw, _ = _contracted(spark, d)
+        return place.hilbert(g, hw) if name == "hilbert" else place.place(g, hw, name)
+
+    run.__name__ = f"place_{name}"
+    query()(run)
+
+
+for _name in ("hilbert", "spectral", "force_directed", "swarm", "min_distance"):
+    _placer(_name)
+
+
+@query()
+def pipeline_sequential_force_directed(spark, d):
+    from .pipeline import REGISTRY, run
+
+    g = fx.basket(spark, d)
+    return run(g, fx.hardware(g), REGISTRY["sequential-force_directed"])
