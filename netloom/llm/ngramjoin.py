@@ -9,12 +9,10 @@ index entries, counted over all documents in a sketch of fixed size, that share
 choice only, any choice finds all links. Candidates are verified exactly on the sets of 64-bit n-gram hashes.
 
 Sets that share an index entry make a bucket. Of a small bucket (BUCKET at most) all pairs are candidates. In a large one
-all members are compared with the pivot, the one with the least id, and each is then described by its difference from
-it. If one or both of two linked sets don't link with the pivot, their differences must share elements, by a bound on
-their sizes; so the first elements of each difference (those that the pivot lacks come first) are the entries of a next
-round, for those groups that are in several components still. A group of thousands of near copies so costs about its
-size, not its square, and no link that joins two components is lost. In the last round, which is hardly reached, all
-pairs of a bucket are compared.
+all members are compared with its least member first; then those that are in different components still are matched
+within the bucket. No text is fetched for pairs that a parity sketch rules out: each element flips one of PARITY bits of
+its set, so that the sketches of two sets differ in no more bits than the sets differ in elements. That bound is exact,
+it never rules out a link, and it holds as a join condition, so that a group of thousands of near copies makes few rows.
 """
 
 from __future__ import annotations
@@ -33,8 +31,8 @@ COUNTERS = 1 << 16
 BUCKET = 5
 #: Members that are compared with one pivot in one run.
 RUN = 256
-#: Rounds; in the last one all pairs of each bucket are compared.
-LEVELS = 6
+#: Bits of a parity sketch.
+PARITY = 1024
 INDEX, PROBE = 1, 2
 _SPREAD, _NEAR = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -129,25 +127,28 @@ def shingle_sets(texts: pa.Array, size: int):
 
 
 def described(docs: DataFrame, size: int, scheme: Scheme) -> DataFrame:
-    """id, n, h1 and h2 (hashes of the set) of each row, and rows with id null and `counts`, a task's counts of index entries."""
+    """id, n, h1 and h2 (hashes of the set) and parity (its sketch) of each row, and rows with known false and `counts`, a task's counts of index entries."""
 
     def describe(batches):
         counts = np.zeros(COUNTERS, np.uint32)
-        names = ["known", "id", "n", "h1", "h2", "counts"]
+        names = ["known", "id", "n", "h1", "h2", "parity", "counts"]
+        longs = PARITY // 64
         for b in batches:
-            n, h1, h2 = [], [], []
+            n, h1, h2, parity = [], [], [], []
             for s in shingle_sets(b.column(1), size):
                 n.append(len(s))
                 h1.append(int(mix(s).sum(dtype=np.uint64)))
                 h2.append(int(mix(s ^ _NEAR).sum(dtype=np.uint64)))
+                parity.append(np.packbits((np.bincount(((s >> np.uint64(40)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(bool)).view("<i8"))
                 if len(s):
                     np.add.at(counts, (scheme.entries(s, None)[0] >> np.uint64(48)).astype(np.int64), 1)
-            longs = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), b.column(0), pa.array(np.array(n, np.int64)), *longs, pa.nulls(len(n), pa.binary())], names=names)
+            hashes = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)]
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * longs), pa.array(np.concatenate([*parity, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), b.column(0), pa.array(np.array(n, np.int64)), *hashes, sketches, pa.nulls(len(n), pa.binary())], names=names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([False]), pa.array([None], pa.int64()), *[pa.array([0])] * 3, pa.array([counts.tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([False]), pa.array([None], pa.int64()), *[pa.array([0])] * 3, pa.nulls(1, pa.list_(pa.int64())), pa.array([counts.tobytes()], pa.binary())], names=names)
 
-    return written(docs.mapInArrow(describe, "known boolean, id long, n long, h1 long, h2 long, counts binary"), "sets")
+    return written(docs.mapInArrow(describe, "known boolean, id long, n long, h1 long, h2 long, parity array<long>, counts binary"), "sets")
 
 
 def counted(sets: DataFrame) -> np.ndarray:
@@ -165,7 +166,7 @@ def counted(sets: DataFrame) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, size: int, scheme: Scheme, counts: np.ndarray) -> DataFrame:
-    """The index: (entry, b, n, role, c) for each document b of n elements; c is its component so far, itself. The ids name the pivots: what others were copied from is likely older."""
+    """From small buckets pairs (a, b) of ids; from large ones (entry, pivot a, member b, n, role). The pivot is the member with the least id: what others were copied from is likely older."""
 
     def index(batches):
         for b in batches:
@@ -190,89 +191,40 @@ def candidates(docs: DataFrame, size: int, scheme: Scheme, counts: np.ndarray) -
         return pa.RecordBatch.from_arrays(columns, names=["b", "n", "entries", "roles"])
 
     rows = docs.select("id", "text").mapInArrow(index, "b long, n int, entries array<long>, roles array<tinyint>")
-    return exploded(rows.withColumn("c", F.col("b")))
-
-
-def exploded(rows: DataFrame) -> DataFrame:
-    """(entry, b, n, role, c): a row for each entry of rows (b, n, entries, roles, c)."""
-    rows = rows.select("b", "n", "c", F.explode(F.arrays_zip("entries", "roles")).alias("e"))
-    return rows.select(F.col("e.entries").alias("entry"), "b", "n", F.col("e.roles").alias("role"), "c")
-
-
-def bucketed(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b, large): pairs of small buckets whose sizes, roles and components allow a new link; of large buckets, if they are in several components, each member with the pivot."""
+    rows = rows.select("b", "n", F.explode(F.arrays_zip("entries", "roles")).alias("e")).select("b", "n", F.col("e.entries").alias("entry"), F.col("e.roles").alias("role"))
     group, order = Window.partitionBy("entry"), Window.partitionBy("entry").orderBy("b")
-    before = [F.lag(F.struct("b", "n", "role", "c"), k).over(order) for k in range(1, BUCKET)]
-    found = rows.select(
-        "*", F.count(F.lit(1)).over(group).alias("members"), F.bit_or("role").over(group).alias("all_roles"), F.min("c").over(group).alias("low"), F.max("c").over(group).alias("high"),
-        F.first("b").over(order).alias("pivot"), F.array(*before).alias("before"),
-    ).where("members > 1 AND all_roles = 3 AND low < high")
-    fits = f"x IS NOT NULL AND x.b <> b AND x.c <> c AND x.role | role = 3 AND greatest(x.n, n) * {percent} <= 100 * least(x.n, n)"
-    ends = f"IF(members <= {BUCKET}, transform(filter(before, x -> {fits}), x -> x.b), IF(pivot = b, CAST(array() AS ARRAY<BIGINT>), array(pivot)))"
-    return found.select("b", (F.col("members") > BUCKET).alias("large"), F.explode(F.expr(ends)).alias("a")).groupBy("a", "b").agg(F.bool_or("large").alias("large"))
-
-
-def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b, large), large being false: the pairs of all buckets."""
-    x, y = rows.alias("x"), rows.alias("y")
-    fits = f"x.b < y.b AND x.c <> y.c AND x.role | y.role = 3 AND greatest(x.n, y.n) * {percent} <= 100 * least(x.n, y.n)"
-    return x.join(y, "entry").where(fits).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"), F.lit(False).alias("large")).distinct()
+    before = [F.lag(F.struct("b", "n", "role"), k).over(order) for k in range(1, BUCKET)]
+    found = rows.select("*", F.count(F.lit(1)).over(group).alias("members"), F.first(F.struct("b", "n")).over(order).alias("pivot"), F.array(*before).alias("before")).where("members > 1")
+    fits = f"x.b <> b AND greatest(x.n, n) * {scheme.percent} <= 100 * least(x.n, n)"
+    ends = f"IF(members <= {BUCKET}, filter(before, x -> x IS NOT NULL AND {fits} AND x.role | role = 3), IF(pivot.b = b, CAST(array() AS ARRAY<STRUCT<b: BIGINT, n: INT, role: TINYINT>>), array(struct(pivot.b, pivot.n, role))))"
+    found = found.select(F.when(F.col("members") > BUCKET, F.col("entry")).alias("entry"), "b", "n", "role", F.explode(F.expr(ends)).alias("x"))
+    out = found.select("entry", F.col("x.b").alias("a"), "b", "n", F.col("x.n").alias("pivot_n"), "role")
+    return written(out, "candidates")
 
 
-_VERIFIED = "a long, b long, n int, linked boolean, large boolean, entries array<long>, roles array<tinyint>, far array<long>, far_roles array<tinyint>"
-
-
-def verified(pairs: DataFrame, docs: DataFrame, size: int, scheme: Scheme) -> DataFrame:
-    """Of pairs (a, b, large) of ids the linked ones and the large ones; for these the entries of b's difference from a.
-
-    A pivot's members are dealt into runs of about RUN; texts are fetched by id. `far` are the entries by which an
-    unlinked member can be found from linked ones.
-    """
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The linked ones among pairs (a, b) of ids. A pivot's members are dealt into runs of about RUN; texts are fetched by id."""
     runs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("runs"))
-    asked = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), "runs").alias("run"), "b", "large")
-    pivots = asked.select("a", "run", F.col("a").alias("id"), F.lit(True).alias("pivot"), F.lit(False).alias("large")).distinct()
-    asked = asked.select("a", "run", F.col("b").alias("id"), F.lit(False).alias("pivot"), "large").union(pivots)
-    told = docs.select("id", "text").join(asked, "id").select("a", "run", "id", "pivot", "large", "text").repartition("a", "run").sortWithinPartitions("a", "run", F.desc("pivot"))
-    ratio = (100 - scheme.percent) / (100 + scheme.percent)
-
-    def difference(pivot_id: int, own: np.ndarray, s: np.ndarray, extra: np.ndarray, linked: bool):
-        """Entries, their role, and far entries. extra: which elements of s the pivot lacks. All differences are in the order of (whether the pivot has an element, hash)."""
-        apart = np.concatenate([s[extra], np.setdiff1d(own, s, assume_unique=True)])
-        d, space = len(apart), mix(np.array([pivot_id], np.int64).view(np.uint64))
-        least = max(1, int(np.ceil((d + ratio * (len(own) - len(s))) / 2 - 1e-9)))
-        near = mix(apart[: d - least + 1] ^ space)
-        if linked:  # is looked up among those that aren't
-            return mix(near ^ _NEAR), PROBE, near[:0]
-        least = max(1, -(-(d + 1 - scheme.differ(len(s), scheme.largest(len(s)))) // 2))
-        return near, INDEX | PROBE, mix(mix(apart[: d - least + 1] ^ space) ^ _NEAR)
-
-    def lists(values: list, kind) -> pa.Array:
-        edge = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32))
-        return pa.ListArray.from_arrays(edge, pa.array(np.concatenate([*values, np.zeros(0, kind)]).astype(kind)))
+    asked = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), "runs").alias("run"), "b")
+    asked = asked.select("a", "run", F.col("b").alias("id"), F.lit(False).alias("pivot")).union(asked.select("a", "run", F.col("a").alias("id"), F.lit(True)).distinct())
+    told = docs.select("id", "text").join(asked, "id").select("a", "run", "id", "pivot", "text").repartition("a", "run").sortWithinPartitions("a", "run", F.desc("pivot"))
 
     def verify(batches):
         key, own = None, None
         for b in batches:
-            a, run, ids, pivot, large = (b.column(k).to_pylist() for k in range(5))
-            rows, entries, roles, far = [], [], [], []
-            for k, s in enumerate(shingle_sets(b.column(5), size)):
+            a, run, ids, pivot = (b.column(k).to_pylist() for k in range(4))
+            linked = []
+            for k, s in enumerate(shingle_sets(b.column(4), size)):
                 if pivot[k]:
                     key, own = (a[k], run[k]), s
-                elif key == (a[k], run[k]) and len(s) and len(own):
-                    extra = own[np.minimum(np.searchsorted(own, s), len(own) - 1)] != s
-                    both = len(s) - int(extra.sum())
-                    linked = 100 * both >= scheme.percent * (len(own) + len(s) - both)
-                    if linked or large[k]:
-                        e, role, f = difference(a[k], own, s, extra, linked) if large[k] else (s[:0], 0, s[:0])
-                        rows.append((a[k], ids[k], len(s), linked, large[k]))
-                        entries.append(e.view(np.int64))
-                        roles.append(np.full(len(e), role, np.int8))
-                        far.append(f.view(np.int64))
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_()))]
-            far_roles = [np.full(len(f), INDEX, np.int8) for f in far]
-            yield pa.RecordBatch.from_arrays([*columns, lists(entries, np.int64), lists(roles, np.int8), lists(far, np.int64), lists(far_roles, np.int8)], names=[x.split()[0] for x in _VERIFIED.split(", ")])
-
-    return told.mapInArrow(verify, _VERIFIED)
+                elif key == (a[k], run[k]) and len(s):
+                    place = np.minimum(np.searchsorted(own, s), len(own) - 1) if len(own) else None
+                    both = int((own[place] == s).sum()) if len(own) else 0
+                    if 100 * both >= percent * (len(own) + len(s) - both):
+                        linked.append((a[k], ids[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in linked], pa.int64()), pa.array([x[1] for x in linked], pa.int64())], names=["a", "b"])
+
+    return told.select("a", "run", "id", "pivot", "text").mapInArrow(verify, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
@@ -286,27 +238,34 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     known = base.where("id IS NOT NULL")
     sets = described(base, size, scheme)
-    rows = sets.where("known").select("id", "n", "h1", "h2")
+    rows = sets.where("known").select("id", "n", "h1", "h2", F.struct(*[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY // 64)]).alias("parity"))
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("class_size"))
-    named = written(rows.join(classes, ["h1", "h2", "n"], "left").select("id", "n", "rep", "class_size"), "classes")
-    of = named.where("rep IS NOT NULL").select("id", "rep", "n").distinct()
-    entries, links, joined = candidates(known, size, scheme, counted(sets)), None, None
-    for level in range(LEVELS):
-        pairs = written(bucketed(entries, percent) if level < LEVELS - 1 else all_pairs(entries, percent), "candidates")
-        if level == 0:  # from documents to the representatives of their classes
-            x, y = of.alias("x"), of.alias("y")
-            told = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(f"x.rep <> y.rep AND (large OR greatest(x.n, y.n) * {percent} <= 100 * least(x.n, y.n))")
-            pairs = written(told.groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).agg(F.bool_or("large").alias("large")), "pairs")
-        told = written(verified(pairs, known, size, scheme), "verified")
-        new = told.where("linked").select("a", "b")
-        links = new if links is None else links.union(new)
+    named = written(rows.join(classes, ["h1", "h2", "n"], "left").select("id", "n", "parity", "rep", "class_size"), "classes")
+    of = named.where("rep IS NOT NULL").select("id", "rep", "n", "parity").distinct()
+    found = candidates(known, size, scheme, counted(sets))
+    apart = " + ".join(f"bit_count(x.parity.p{k} ^ y.parity.p{k})" for k in range(PARITY // 64))
+    fits = f"greatest(x.n, y.n) * {percent} <= 100 * least(x.n, y.n) AND {apart} <= floor({100 - percent} * (x.n + y.n) / {100 + percent})"
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The links among pairs of representatives (a, b)."""
+        return written(verified(written(pairs.distinct(), "pairs"), known, size, percent), "links")
+
+    first = found.select("a", "b").distinct().join(of.alias("x"), F.col("a") == F.col("x.id")).join(of.alias("y"), F.col("b") == F.col("y.id")).where("x.rep <> y.rep AND " + fits)
+    links = compared(first.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")))
+    joined = written(components(links), "components")
+    # what large buckets leave: members, by their representatives, that are in different components still
+    large = found.where("entry IS NOT NULL")
+    large = large.select("entry", "b", "role").union(large.select("entry", F.col("a").alias("b"), F.lit(3).cast("tinyint")).distinct())
+    large = large.join(of, F.col("b") == F.col("id")).groupBy("entry", F.col("rep").alias("b")).agg(F.bit_or("role").alias("role"))
+    large = large.join(joined, F.col("b") == F.col("id"), "left").select("entry", "b", "role", F.coalesce("component", "b").alias("c"))
+    mixed = large.groupBy("entry").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("b").alias("p")).where("low < high").select("entry", "p")
+    large = written(large.join(mixed, "entry").where("b > p").drop("p"), "large")  # the least member has been compared with all
+    if not large.isEmpty():
+        own = of.where("id = rep").select(F.col("id").alias("b"), "n", "parity")
+        large = large.join(own, "b")
+        pairs = large.alias("x").join(large.alias("y"), "entry").where("x.b < y.b AND x.c <> y.c AND x.role | y.role = 3 AND " + fits)
+        links = links.union(compared(pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))))
         joined = written(components(links), "components")
-        member = told.where("large").join(joined, F.col("b") == F.col("id"), "left").withColumn("c", F.coalesce("component", "b"))
-        mixed = member.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.bool_or("linked").alias("some")).where("low < high").select("a", "some")
-        member = written(member.join(mixed, "a").select("b", "n", "c", "entries", "roles", F.when(F.col("some"), F.col("far")).alias("far"), "far_roles"), "members")
-        if level == LEVELS - 1 or member.isEmpty():
-            break
-        entries = exploded(member).union(exploded(member.where("far IS NOT NULL").select("b", "n", "c", F.col("far").alias("entries"), F.col("far_roles").alias("roles"))))
     parts = joined.select(F.col("id").alias("_rep"), "component")
     return named.join(parts, F.col("rep") == F.col("_rep"), "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
