@@ -607,3 +607,33 @@ def pipeline_sequential_force_directed(spark, d):
 
     g = fx.basket(spark, d)
     return run(g, fx.hardware(g), REGISTRY["sequential-force_directed"])
+
+
+# ---- orders of contracted hypergraphs
+
+
+@query()
+def feed_forward_order(spark, d):
+    from ..operators.order import feed_forward_order as run
+
+    return run(_contracted(spark, d)[0])
+
+
+@query()
+def acyclic_part(spark, d):
+    from ..operators.order import acyclic_part as run
+
+    return run(_contracted(spark, d)[0])
+
+
+@query()
+def broken_cycles(spark, d):
+    from ..operators.order import broken_cycles as run
+
+    return run(_contracted(spark, d)[0])
+
+
+@query("SELECT count(*) AS nodes, (SELECT count(*) FROM pins) AS edges, round((SELECT count(*) FROM pins) * 2 / count(*), 6) AS mean_degree FROM nodes", "basket")
+def graph_inspect(spark, d):
+    g = fx.basket(spark, d)
+    return g.pins.agg(F.count(F.lit(1)).alias("edges")).crossJoin(F.broadcast(g.nodes.agg(F.count(F.lit(1)).alias("nodes")))).select("nodes", "edges", F.round(F.col("edges") * 2 / F.col("nodes"), 6).alias("mean_degree"))
