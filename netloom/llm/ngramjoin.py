@@ -207,7 +207,8 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     runs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("runs"))
     asked = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), "runs").alias("run"), "b")
     asked = asked.select("a", "run", F.col("b").alias("id"), F.lit(False).alias("pivot")).union(asked.select("a", "run", F.col("a").alias("id"), F.lit(True)).distinct())
-    told = docs.select("id", "text").join(asked, "id").select("a", "run", "id", "pivot", "text").repartition("a", "run").sortWithinPartitions("a", "run", F.desc("pivot"))
+    # what is asked for grows with the input, so it is never broadcast: the plan is alike at every size
+    told = docs.select("id", "text").hint("merge").join(asked, "id").select("a", "run", "id", "pivot", "text").repartition("a", "run").sortWithinPartitions("a", "run", F.desc("pivot"))
 
     def verify(batches):
         key, own = None, None
