@@ -126,29 +126,35 @@ def shingle_sets(texts: pa.Array, size: int):
             yield np.unique(found[edge[d] : edge[d + 1]])
 
 
+def parities(s: np.ndarray, bits: int) -> np.ndarray:
+    """Whether each of `bits` (a power of two) classes of the universe holds an odd number of elements, packed into 64-bit integers. Half as many classes have the exclusive or of both halves."""
+    return np.packbits((np.bincount(((s >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).view("<i8")
+
+
 def described(docs: DataFrame, size: int, scheme: Scheme) -> DataFrame:
-    """id, n, h1 and h2 (hashes of the set) and parity (its sketch) of each row, and rows with known false and `counts`, a task's counts of index entries."""
+    """id, n, h1 and h2 (hashes of the set), parity (its sketch) and, of sets with more elements than that has bits, more (one of a bit an element) of each row, and rows with known false and `counts`, a task's counts of index entries."""
 
     def describe(batches):
         counts = np.zeros(COUNTERS, np.uint32)
-        names = ["known", "id", "n", "h1", "h2", "parity", "counts"]
+        names = ["known", "id", "n", "h1", "h2", "parity", "more", "counts"]
         longs = PARITY // 64
         for b in batches:
-            n, h1, h2, parity = [], [], [], []
+            n, h1, h2, parity, more = [], [], [], [], []
             for s in shingle_sets(b.column(1), size):
                 n.append(len(s))
                 h1.append(int(mix(s).sum(dtype=np.uint64)))
                 h2.append(int(mix(s ^ _NEAR).sum(dtype=np.uint64)))
-                parity.append(np.packbits((np.bincount(((s >> np.uint64(40)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(bool)).view("<i8"))
+                parity.append(parities(s, PARITY))
+                more.append(parities(s, 1 << (len(s) - 1).bit_length()).tolist() if len(s) > PARITY else None)
                 if len(s):
                     np.add.at(counts, (scheme.entries(s, None)[0] >> np.uint64(48)).astype(np.int64), 1)
             hashes = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)]
             sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * longs), pa.array(np.concatenate([*parity, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), b.column(0), pa.array(np.array(n, np.int64)), *hashes, sketches, pa.nulls(len(n), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), b.column(0), pa.array(np.array(n, np.int64)), *hashes, sketches, pa.array(more, pa.list_(pa.int64())), pa.nulls(len(n), pa.binary())], names=names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([False]), pa.array([None], pa.int64()), *[pa.array([0])] * 3, pa.nulls(1, pa.list_(pa.int64())), pa.array([counts.tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([False]), pa.array([None], pa.int64()), *[pa.array([0])] * 3, *[pa.nulls(1, pa.list_(pa.int64()))] * 2, pa.array([counts.tobytes()], pa.binary())], names=names)
 
-    return written(docs.mapInArrow(describe, "known boolean, id long, n long, h1 long, h2 long, parity array<long>, counts binary"), "sets")
+    return written(docs.mapInArrow(describe, "known boolean, id long, n long, h1 long, h2 long, parity array<long>, more array<long>, counts binary"), "sets")
 
 
 def counted(sets: DataFrame) -> np.ndarray:
@@ -239,17 +245,24 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     known = base.where("id IS NOT NULL")
     sets = described(base, size, scheme)
-    rows = sets.where("known").select("id", "n", "h1", "h2", F.struct(*[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY // 64)]).alias("parity"))
+    rows = sets.where("known").select("id", "n", "h1", "h2", F.struct(*[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY // 64)]).alias("parity"), "more")
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("class_size"))
-    named = written(rows.join(classes, ["h1", "h2", "n"], "left").select("id", "n", "parity", "rep", "class_size"), "classes")
+    named = written(rows.join(classes, ["h1", "h2", "n"], "left").select("id", "n", "parity", "more", "rep", "class_size"), "classes")
     of = named.where("rep IS NOT NULL").select("id", "rep", "n", "parity").distinct()
     found = candidates(known, size, scheme, counted(sets))
     apart = " + ".join(f"bit_count(x.parity.p{k} ^ y.parity.p{k})" for k in range(PARITY // 64))
     fits = f"greatest(x.n, y.n) * {percent} <= 100 * least(x.n, y.n) AND {apart} <= floor({100 - percent} * (x.n + y.n) / {100 + percent})"
 
+    sketched = named.where("id = rep AND more IS NOT NULL").select("id", "n", "more").dropDuplicates(["id"])
+    halved = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (p, q) -> p ^ q)"
+    alike = lambda k, other: f"IF(size({k}.more) > size({other}.more), {halved.format(k + '.more')}, {k}.more)"
+    further = f"aggregate(zip_with({alike('_a', '_b')}, {alike('_b', '_a')}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c) <= floor({100 - percent} * (_a.n + _b.n) / {100 + percent})"
+
     def compared(pairs: DataFrame) -> DataFrame:
-        """The links among pairs of representatives (a, b)."""
-        return written(verified(written(pairs.distinct(), "pairs"), known, size, percent), "links")
+        """The links among pairs of representatives (a, b). Large sets' larger sketches are compared first."""
+        side = lambda k: sketched.select(F.col("id").alias(k), F.struct("n", "more").alias(f"_{k}"))
+        pairs = pairs.distinct().join(side("a"), "a", "left").join(side("b"), "b", "left").where(f"_a IS NULL OR _b IS NULL OR {further}").select("a", "b")
+        return written(verified(written(pairs, "pairs"), known, size, percent), "links")
 
     first = found.select("a", "b").distinct().join(of.alias("x"), F.col("a") == F.col("x.id")).join(of.alias("y"), F.col("b") == F.col("y.id")).where("x.rep <> y.rep AND " + fits)
     links = compared(first.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")))
