@@ -5,32 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from netloom.llm import decontaminate, langid, linededup, ngramjoin, pieces
-from netloom.llm.common import documents, written
+from netloom.llm.common import documents, small_batches, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model doesn't recognise go."""
+    small_batches(spark)
     return langid.language_filtered(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines are deleted from the texts; documents of which nothing is left go."""
+    small_batches(spark)
     return linededup.lines_filtered(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the smallest id stays."""
+    small_batches(spark)
     return ngramjoin.one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return decontaminate.leaks_filtered(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, whether they decode to it again, and whether they are those of the model's own library."""
-    out = pieces.encoded(docs.select("doc_id", "lang", "source", "text"))
+    small_batches(spark)
+    out = pieces.encoded(docs.select("doc_id", "lang", "source", "text"), most_words=200_000)
     return out.selectExpr("doc_id", "lang", "source", "CAST(size(ids) AS BIGINT) AS n_tokens", "ids", "round_trip", "parity")
 
 

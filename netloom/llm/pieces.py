@@ -182,7 +182,8 @@ class Encoder:
 
     MOST_WORDS, BLOCKS = 600_000, 4
 
-    def __init__(self, data: bytes, threads: int = 2, verify: bool = True) -> None:
+    def __init__(self, data: bytes, threads: int = 2, verify: bool = True, most_words: int | None = None) -> None:
+        self.most_words = most_words or self.MOST_WORDS
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
         self.model = PieceModel.parse(data)
         self.whole = tokenizer(self.model)
@@ -230,7 +231,7 @@ class Encoder:
             ids = [e.ids if x else [] for x, e in zip(texts, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
             same = [x == y for x, y in zip(ids, self.other.encode(texts, num_threads=1), strict=True)] if self.other else [None] * len(texts)
             return [np.array(x, "<i4").tobytes() for x in ids], self.whole.decode_batch(ids, skip_special_tokens=False), same
-        if len(self.words) > self.MOST_WORDS:
+        if len(self.words) > self.most_words:
             self.words, self.wrong, self.odd = {}, set(), {}
         cut = [_WORDS.findall(META + x.replace(" ", META)) if x else [] for x in texts]
         new = set(chain.from_iterable(cut)) - self.words.keys()
@@ -247,7 +248,7 @@ def listed(ids: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
 
-def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", threads: int = 2, verify: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", threads: int = 2, verify: bool = True, most_words: int | None = None) -> DataFrame:
     """docs with `ids`, the token ids of the whole text, `decoded`, what they decode to, `round_trip`, whether that is the text again, and `parity`, whether `sentencepiece` gives the same ids (null without verify).
 
     A null or empty text has no ids and decodes to the empty text. A text that itself has the metaspace marker decodes to
@@ -259,7 +260,7 @@ def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", threads: in
     at = docs.columns.index(text)
 
     def encode(batches):
-        encoder = Encoder(data, threads, verify)
+        encoder = Encoder(data, threads, verify, most_words)
         for b in batches:
             first = 0
             for run in runs([x or "" for x in b.column(at).to_pylist()]):
