@@ -4,8 +4,9 @@ A document's lines without the blank ones are a sequence of line hashes. From ea
 make MIN_WORDS words or MIN_LINES lines. A window's fingerprint is the least hash in it, so two equal windows always share
 a fingerprint and most lines are the fingerprint of none. Fingerprints are counted; those that occur at one place only
 are done. At the others the positions are joined: windows with equal lines are matched to the first of them. A match
-longer than a window makes a match of each window within it, so that together they cover it to both ends. All lines of
-matched later windows go.
+longer than a window makes a match of each window within it; together they cover it to its left end. On the right up to
+two lines of less than MIN_WORDS words can be left: those whose own window runs past the match. Matches aren't extended to
+them, as the SQL of the query has the same rule. All lines of matched later windows go.
 
 Hence exactly: a line goes if it lies in a window that equals, line by line, one that starts earlier, in the order of
 (document id, position).
