@@ -13,6 +13,10 @@ all members are compared with its least member first; then those that are in dif
 within the bucket. No text is fetched for pairs that a parity sketch rules out: each element flips one of PARITY bits of
 its set, so that the sketches of two sets differ in no more bits than the sets differ in elements. That bound is exact,
 it never rules out a link, and it holds as a join condition, so that a group of thousands of near copies makes few rows.
+
+Components need only as many links as connect them. All links lie within components, so the join is completed there: two
+classes that make a component are linked; the classes of a larger one are dealt into blocks, and each pair of blocks is
+compared in full, on the sets themselves. That is quadratic in the classes of a component, as its links may be.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ COUNTERS = 1 << 16
 BUCKET = 5
 #: Members that are compared with one pivot in one run.
 RUN = 256
+#: Classes and n-grams of a block, about, and columns of an incidence matrix, when the links of a component are completed.
+BLOCK, BLOCK_GRAMS, WIDTH = 256, 1_000_000, 4096
 #: Bits of a parity sketch.
 PARITY = 1024
 INDEX, PROBE = 1, 2
@@ -234,13 +240,76 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return told.select("a", "run", "id", "pivot", "text").mapInArrow(verify, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
-    """One row per row of docs: its id, n_shingles, component_id (the smallest id that links reach, itself included) and class_size (rows with the same set).
-
-    A null or empty text, or one of white space, has no n-grams and is linked with nothing; with fewer words than `size`
-    the whole sequence is the only n-gram. Ids tell documents apart: repeated rows are one document. A null id has a null
-    component and isn't linked. An empty table gives an empty result. Only id and text are read.
-    """
+def shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of x has in common with each of y."""
+    out = np.zeros((len(x), len(y)))
+    flat = [np.concatenate(k) for k in (x, y)]
+    both = np.intersect1d(*flat)
+    rows = [np.repeat(np.arange(len(k)), [len(s) for s in k]) for k in (x, y)]
+    places = []
+    for k, r in zip(flat, rows, strict=True):
+        at = np.minimum(np.searchsorted(both, k), max(0, len(both) - 1))
+        known = both[at] == k if len(both) else np.zeros(len(k), bool)
+        order = np.argsort(at[known], kind="stable")
+        places.append((at[known][order], r[known][order]))
+    for low in range(0, len(both), WIDTH):
+        wide = min(WIDTH, len(both) - low)
+        sides = []
+        for (at, r), n in zip(places, (len(x), len(y)), strict=True):
+            a, b = np.searchsorted(at, [low, low + wide])
+            m = np.zeros((n, wide), np.float32)
+            m[r[a:b], at[a:b] - low] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def completed(joined: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """All links (a, b), a < b, between the representatives of classes, from their components (id, component) and numbers of n-grams (id, n)."""
+    groups = joined.join(classes, "id").groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("grams"), F.min("id").alias("a"), F.max("id").alias("b"))
+    groups = written(groups, "groups")
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS))
+    dealt = joined.join(groups.where("k > 2").select("component", blocks.alias("blocks")), "component").select("id", "component", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
+    told = docs.select("id", "text").hint("merge").join(dealt, "id").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    told = told.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "text")
+    told = told.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "block", "id")
+
+    def links(key, ids, sets):
+        """The links of one pair of blocks, or within one block."""
+        x, y = ids[key[1]], ids[key[2]] if key[1] != key[2] else ids[key[1]]
+        if not x or not y:
+            return None
+        p, q = sets[key[1]], sets[key[2]]
+        both = shared(p, q)
+        n, m = (np.array([len(s) for s in k]) for k in (p, q))
+        found = 100 * both >= percent * (n[:, None] + m[None, :] - both)
+        if key[1] == key[2]:
+            found = np.triu(found, 1)
+        i, j = np.nonzero(found)
+        a, b = np.array(x, np.int64)[i], np.array(y, np.int64)[j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def complete(batches):
+        key, ids, sets = None, {}, {}
+        for b in batches:
+            component, low, high, block, own = (b.column(k).to_pylist() for k in range(5))
+            for k, s in enumerate(shingle_sets(b.column(5), size)):
+                if key != (component[k], low[k], high[k]):
+                    if key is not None and (out := links(key, ids, sets)) is not None:
+                        yield out
+                    key = (component[k], low[k], high[k])
+                    ids, sets = {low[k]: [], high[k]: []}, {low[k]: [], high[k]: []}
+                if not ids[block[k]] or ids[block[k]][-1] != own[k]:  # repeated rows are one document
+                    ids[block[k]].append(own[k])
+                    sets[block[k]].append(s)
+        if key is not None and (out := links(key, ids, sets)) is not None:
+            yield out
+
+    return groups.where("k = 2").select("a", "b").union(told.mapInArrow(complete, "a long, b long"))
+
+
+def jaccard_classes(docs: DataFrame, id_column: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with an id (id, text), rows (id, n, rep, class_size and sketches), and the components (id, component) of linked representatives."""
     scheme = Scheme(percent)
     base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     known = base.where("id IS NOT NULL")
@@ -280,8 +349,33 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
         pairs = large.alias("x").join(large.alias("y"), "entry").where("x.b < y.b AND x.c <> y.c AND x.role | y.role = 3 AND " + fits)
         links = links.union(compared(pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))))
         joined = written(components(links), "components")
+    return known, named, joined
+
+
+def with_components(named: DataFrame, joined: DataFrame) -> DataFrame:
     parts = joined.select(F.col("id").alias("_rep"), "component")
-    return named.join(parts, F.col("rep") == F.col("_rep"), "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return named.join(parts, F.col("rep") == F.col("_rep"), "left").select("id", "n", "rep", F.coalesce("component", "rep", "id").alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+
+
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
+    """One row per row of docs: its id, n_shingles, component_id (the smallest id that links reach, itself included) and class_size (rows with the same set).
+
+    A null or empty text, or one of white space, has no n-grams and is linked with nothing; with fewer words than `size`
+    the whole sequence is the only n-gram. Ids tell documents apart: repeated rows are one document. A null id has a null
+    component and isn't linked. An empty table gives an empty result. Only id and text are read.
+    """
+    _, named, joined = jaccard_classes(docs, id_column, text, size, percent)
+    return with_components(named, joined).select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", "class_size")
+
+
+def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
+    """The columns of jaccard_components, class_id (the smallest id with the same set; its own without n-grams) and n_links: how many other classes the row's class is linked with, none left out."""
+    known, named, joined = jaccard_classes(docs, id_column, text, size, percent)
+    classes = named.where("id = rep").select("id", "n").dropDuplicates(["id"])
+    links = completed(joined, classes, known, size, percent)
+    count = links.select(F.explode(F.array("a", "b")).alias("_end")).groupBy("_end").agg(F.count(F.lit(1)).alias("n_links"))
+    out = with_components(named, joined).join(count, F.col("rep") == F.col("_end"), "left")
+    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", "class_size", F.coalesce("rep", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -7,7 +7,7 @@ from .common import documents
 
 
 def op1_ngram_jaccard(spark, sf_dir):
-    return ngramjoin.jaccard_components(documents(spark, sf_dir))
+    return ngramjoin.jaccard_join(documents(spark, sf_dir))
 
 
 def op2_language_id(spark, sf_dir):

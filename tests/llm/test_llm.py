@@ -67,6 +67,34 @@ def test_join_against_brute_force(spark, size, percent):
     assert got == components(rows, size, percent)
 
 
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_join_gives_every_link(spark, size, percent, monkeypatch):
+    """Class and number of links against all pairs; more near copies than a bucket holds, dealt into several blocks."""
+    monkeypatch.setattr(ngramjoin, "BLOCK", 8)
+    monkeypatch.setattr(ngramjoin, "WIDTH", 64)
+    r, rows = random.Random(size), []
+    for n, copies in ((12, 10), (80, 45), (260, 20), (90, 2), (100, 3)):
+        base = [f"w{r.randrange(10**5)}" for _ in range(n)]
+        for k in range(copies):
+            w = list(base)
+            for _ in range(0 if k % 7 == 0 else r.randrange(1, max(2, n // 25))):
+                w[r.randrange(n)] = f"x{r.randrange(10**5)}"
+            rows.append((r.randrange(10**6), " ".join(w)))
+    rows = list({i: t for i, t in rows}.items()) + [(1_000_001, None), (1_000_003, "Two words"), (1_000_004, "two WORDS")]
+    sets = {i: shingles(t, size) for i, t in rows}
+    first, links = {}, Counter()
+    for i in sorted(sets, reverse=True):
+        first[sets[i] or i] = i
+    for a in first.values():
+        for b in first.values():
+            both = len(sets[a] & sets[b])
+            links[a] += a != b and both > 0 and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both)
+    expected = {i: (first[s or i], links[first[s or i]]) for i, s in sets.items()}
+    docs = spark.createDataFrame([*rows, *rows[20:30]], "doc_id long, text string")
+    out = ngramjoin.jaccard_join(docs, size=size, percent=percent).collect()
+    assert len(out) == docs.count() and {x["doc_id"]: (x["class_id"], x["n_links"]) for x in out} == expected and max(links.values()) > 8
+
+
 def test_join_edges(spark):
     got = ngramjoin.jaccard_components(frame(spark, EDGES)).collect()
     assert len(got) == len(EDGES)
