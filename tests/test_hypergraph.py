@@ -157,6 +157,21 @@ def test_partitioners(spark):
         partition.partition_sequential(g, Caps(32, 500, 600, 2))
 
 
+def test_coarsening_goes_on(spark):
+    """Of a path with growing weights one pair a round is mutually best; no two neighbours may be left that fit."""
+    n = 40
+    g, caps = graph(spark, n, [(k, [k + 1], k + 1) for k in range(n - 1)]), Caps(4, 100, 100, 20)
+    for run in (partition.partition_multilevel,):
+        a = {r[0]: r[1] for r in run(g, caps).collect()}
+        size = {p: list(a.values()).count(p) for p in a.values()}
+        assert len(a) == n and max(size.values()) <= 4
+        assert len(size) <= n // 4 or all(a[k] == a[k + 1] or size[a[k]] + size[a[k + 1]] > 4 for k in range(n - 1))
+    far = graph(spark, 6, [(0, [1], 1), (2, [3], 1)])
+    for run in (partition.partition_multilevel, partition.partition_similar):
+        with pytest.raises(partition.PartitionError):
+            run(far, Caps(4, 100, 100, 1))
+
+
 def test_placers(spark):
     g = fx.basket(spark, SF)
     a = fx.assigned(g, 8)
