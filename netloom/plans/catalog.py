@@ -166,7 +166,7 @@ def is_topologically_sorted(spark, d):
 @query("+e AS (SELECT DISTINCT source, dst FROM pins), w(node, level) AS (SELECT node, 0 FROM nodes WHERE node = 0 UNION SELECT e.dst, w.level + 1 FROM w JOIN e ON e.source = w.node WHERE w.level < 4) -- recursive\n SELECT 0::BIGINT AS start, node, min(level) AS level FROM w GROUP BY node", "basket")
 def bfs_levels(spark, d):
     g = fx.basket(spark, d)
-    return traversal.bfs_levels(g, g.nodes.where("node = 0"), most=4)
+    return traversal.bfs_levels(g, g.nodes.where("node = 0"))
 
 
 @query()

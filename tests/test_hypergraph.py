@@ -157,6 +157,11 @@ def test_partitioners(spark):
         partition.partition_sequential(g, Caps(32, 500, 600, 2))
 
 
+def test_bfs_query_has_no_bound(spark, monkeypatch):
+    monkeypatch.setattr(fx, "basket", lambda spark, d: graph(spark, 8, [(k, [k + 1], 1) for k in range(6)]))
+    assert {(r["node"], r["level"]) for r in catalog.QUERIES["bfs_levels"](spark, SF).collect()} == {(k, k) for k in range(7)}
+
+
 def test_coarsening_goes_on(spark):
     """Of a path with growing weights one pair a round is mutually best; no two neighbours may be left that fit."""
     n = 40
