@@ -157,6 +157,29 @@ def test_partitioners(spark):
         partition.partition_sequential(g, Caps(32, 500, 600, 2))
 
 
+def test_no_swap_pays():
+    """All pairs of nodes by the cost itself, neighbours or not."""
+    r, rows = np.random.default_rng(3), []
+    for h in range(60):
+        s, *ds = r.choice(24, 5, replace=False)
+        rows += [(h, s, d, float(1 + h % 7)) for d in ds]
+    he, source, dst, weight = (np.array(c) for c in zip(*rows, strict=True))
+    caps = Caps(4, 60, 60, 20)
+    for seed in range(4):
+        out = partition.swapped(partition.Incidence(range(24), he, source, dst, weight), caps, seed)
+        base = out.cost()
+        for a in range(24):
+            for b in range(a):
+                pa, pb = out.part[a], out.part[b]
+                if pa != pb:
+                    out.drop(a), out.drop(b)
+                    fit = out.fits(b, pa) and out.fits(a, pb)
+                    out.add(a, pb), out.add(b, pa)
+                    assert not fit or out.cost() >= base - 0.1
+                    out.drop(a), out.drop(b)
+                    out.add(a, pa), out.add(b, pb)
+
+
 def test_bfs_query_has_no_bound(spark, monkeypatch):
     monkeypatch.setattr(fx, "basket", lambda spark, d: graph(spark, 8, [(k, [k + 1], 1) for k in range(6)]))
     assert {(r["node"], r["level"]) for r in catalog.QUERIES["bfs_levels"](spark, SF).collect()} == {(k, k) for k in range(7)}
