@@ -157,6 +157,17 @@ def test_partitioners(spark):
         partition.partition_sequential(g, Caps(32, 500, 600, 2))
 
 
+def test_refinement_ends_when_no_move_pays():
+    """A hypergraph on which moves still pay after two sweeps."""
+    r, rows = np.random.default_rng(0), []
+    for h in range(60):
+        s, *ds = r.choice(24, 5, replace=False)
+        rows += [(h, s, d, float(1 + h % 7)) for d in ds]
+    out = partition.refined(partition.greedy(partition.Incidence(range(24), *(np.array(c) for c in zip(*rows, strict=True))), Caps(6, 60, 60, 20), 0))
+    cost = out.cost()
+    assert partition.refined(out).cost() == cost
+
+
 def test_no_swap_pays():
     """All pairs of nodes by the cost itself, neighbours or not."""
     r, rows = np.random.default_rng(3), []
