@@ -54,10 +54,14 @@ def diagonals(spark: SparkSession, width: int, height: int) -> DataFrame:
 
 
 def equispaced(spark: SparkSession, width: int, height: int, k: int) -> DataFrame:
-    """(x, y): k cells spread evenly over a lattice in row order, the middle one for k = 1; halves round to even."""
-    last = width * height - 1
-    at = F.floor(F.lit(last) / 2) if k == 1 else F.bround(F.col("id") * float(last) / (k - 1), 0)
-    return spark.range(k).select(at.cast("long").alias("c")).distinct().select((F.col("c") % width).alias("x"), F.floor(F.col("c") / width).cast("long").alias("y"))
+    """(x, y): k cells of a lattice in row order, one every width * height / k cells from the first on, halves rounded to even; for k = 1 the cell at half the width and height."""
+    cells = width * height
+    if width <= 0 or height <= 0 or k > cells:
+        raise ValueError(f"{k} points don't fit on a lattice of {width} x {height}")
+    if k == 1:
+        return spark.range(1).select(F.lit(width // 2).cast("long").alias("x"), F.lit(height // 2).cast("long").alias("y"))
+    at = F.least(F.lit(cells - 1), F.bround(F.col("id") * (cells / k), 0).cast("long"))
+    return spark.range(k).select(at.alias("c")).distinct().select((F.col("c") % width).alias("x"), F.floor(F.col("c") / width).cast("long").alias("y"))
 
 
 def spike_rates(spikes: DataFrame, trim_counts: bool = False, digits: int = 9) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hypergraph import Hypergraph
+from .tables import settled
 
 
 def to_graph(graph: Hypergraph, collapse: bool = False) -> DataFrame:
@@ -56,9 +57,15 @@ def relabel(graph: Hypergraph, names: DataFrame) -> Hypergraph:
     return Hypergraph(graph.nodes.join(names, "node").select(F.col("new").alias("node")), pins)
 
 
-def running(df: DataFrame, value: str, order: list[str], name: str, buckets: int = 64) -> DataFrame:
-    """df with the sum of value over all rows before, in a total order: prefix sums within ranges and over the ranges' sums, so that no task sees all rows."""
-    ranged = df.repartitionByRange(buckets, *order).withColumn("_range", F.spark_partition_id())
+def running(df: DataFrame, value: str, order: list[str], name: str) -> DataFrame:
+    """df with the sum of value over all rows before, in a total order: prefix sums within ranges and over the ranges' sums, so that no task sees all rows.
+
+    The bounds of the ranges are sampled, so that each evaluation may draw others: rows are dealt once, and written with
+    their range's number; both the sums and the rows are read from there. There are as many ranges as shuffle partitions,
+    64 at least.
+    """
+    ranges = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = settled(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
     sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
     own = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

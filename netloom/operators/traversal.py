@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hypergraph import Hypergraph
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once: a checkpoint in the folder that the cluster shares, which cuts the lineage of loops."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .tables import settled
 
 
 def edges(graph: Hypergraph) -> DataFrame:

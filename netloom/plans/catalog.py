@@ -539,7 +539,7 @@ def camel_case(spark, d):
     return o.select(scalar.snake_case(F.col("x")).alias("s"))
 
 
-@query("SELECT DISTINCT ((round_even(i * 63.0 / 6, 0)::BIGINT) % 8)::BIGINT AS x, (round_even(i * 63.0 / 6, 0)::BIGINT // 8)::BIGINT AS y FROM range(7) t(i)")
+@query("SELECT DISTINCT (c % 8)::BIGINT AS x, (c // 8)::BIGINT AS y FROM (SELECT least(63, round_even(i * 64 / 7, 0)::BIGINT) AS c FROM range(7) t(i))")
 def equispaced_points(spark, d):
     return scalar.equispaced(spark, 8, 8, 7)
 

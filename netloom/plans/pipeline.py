@@ -11,7 +11,7 @@ from ..operators import partition as P
 from ..operators import place as L
 from ..operators import scores, transform
 from ..operators.hypergraph import Hardware, Hypergraph
-from ..operators.traversal import settled
+from ..operators.tables import settled
 
 
 @dataclass(frozen=True)

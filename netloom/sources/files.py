@@ -123,7 +123,7 @@ def read_graphml(spark: SparkSession, path: str, rate_key: str = "spike_frequenc
     node = base.schema(f"_id string, data {data}").option("rowTag", "node").xml(path).withColumn("seq", F.monotonically_increasing_id()).where("_id IS NOT NULL")
     edge = base.schema("_source string, _target string").option("rowTag", "edge").xml(path).where("_source IS NOT NULL")
     rate = F.get(F.filter("data", lambda x: x["_key"].contains(rate_key) | (x["_key"] == "d0")), F.lit(0))["_VALUE"].cast("double")
-    ids = running(node.withColumn("one", F.lit(1)), "one", ["seq"], "node", 8).select("_id", F.col("node").cast("long").alias("node"), F.coalesce(rate, F.lit(1.0)).alias("weight"))
+    ids = running(node.withColumn("one", F.lit(1)), "one", ["seq"], "node").select("_id", F.col("node").cast("long").alias("node"), F.coalesce(rate, F.lit(1.0)).alias("weight"))
     start = ids.select(F.col("_id").alias("_source"), F.col("node").alias("source"), "weight")
     pins = edge.join(start, "_source").join(ids.select(F.col("_id").alias("_target"), F.col("node").alias("dst")), "_target")
     return Hypergraph(ids.select("node"), pins.select(F.col("source").alias("he_id"), "source", "dst", "weight").distinct())
@@ -133,7 +133,7 @@ def read_compact(spark: SparkSession, path: str) -> Hypergraph:
     """Lines `name` (a node) and `a;b` (an edge); ids by names' first line; weight 1."""
     lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id()).withColumn("p", F.split(F.trim("value"), ";")).where("trim(value) <> ''")
     names = lines.select(F.posexplode("p").alias("k", "name"), "seq").groupBy("name").agg(F.min(F.struct("seq", "k")).alias("first")).withColumn("one", F.lit(1))
-    ids = running(names, "one", ["first"], "node", 8).select("name", F.col("node").cast("long").alias("node"))
+    ids = running(names, "one", ["first"], "node").select("name", F.col("node").cast("long").alias("node"))
     edge = lines.where(F.size("p") == 2).select(F.col("p")[0].alias("a"), F.col("p")[1].alias("b"))
     pins = edge.join(ids.select(F.col("name").alias("a"), F.col("node").alias("source")), "a").join(ids.select(F.col("name").alias("b"), F.col("node").alias("dst")), "b")
     return Hypergraph(ids.select("node"), pins.select(F.col("source").alias("he_id"), "source", "dst", F.lit(1.0).alias("weight")).distinct())
@@ -169,7 +169,7 @@ def from_sonata(nodes: DataFrame, edges: DataFrame, spikes: DataFrame, renumber:
     if renumber:
         from ..operators.transform import relabel
 
-        ids = running(graph.nodes.withColumn("one", F.lit(1)), "one", ["node"], "new", 8).select("node", F.col("new").cast("long").alias("new"))
+        ids = running(graph.nodes.withColumn("one", F.lit(1)), "one", ["node"], "new").select("node", F.col("new").cast("long").alias("new"))
         return relabel(graph, ids)
     return graph
 

@@ -63,6 +63,26 @@ def test_split_of_the_border(spark):
     assert {tuple(r) for r in transform.remove_weight(g, 0.5).collect()} == {(0, 3, 0), (1, 0, 2)}
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("cached", [False, True])
+def test_prefix_sums_of_many_rows(spark, adaptive, cached):
+    """Beyond the rows that the bounds of ranges are sampled from, with a column that the sums don't need."""
+    n, before = 150_000, spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = spark.range(n).select(F.xxhash64("id").alias("k"), (F.col("id") % 7).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("extra"))
+        rows = rows.cache() if cached else rows
+        got = {r["k"]: (r["at"], r["extra"]) for r in transform.running(rows, "v", ["k"], "at").collect()}
+        want, total = {}, 0
+        for r in sorted(rows.collect()):
+            want[r["k"]] = (total, r["extra"])
+            total += r["v"]
+        assert got == want
+    finally:
+        rows.unpersist()
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_empty(spark):
     g = graph(spark, 3, [])
     assert stats.overlap(g).first()[0] == 0.0 and stats.degrees(g).count() == 3 and stats.isolated(g).count() == 3
@@ -250,7 +270,8 @@ def test_scalars(spark):
     one = spark.range(1)
     assert [r[0] for r in one.select(F.explode(F.array(*[scalar.snake_case(F.lit(x)) for x in ("camelCase", "HTMLPage", "x")]))).collect()] == ["camel_case", "html_page", "x"]
     assert one.select(scalar.size_string(F.lit(1536.0))).first()[0] == "1.5 KB"
-    assert sorted(map(tuple, scalar.equispaced(spark, 4, 4, 1).collect())) == [(3, 1)]
+    assert sorted(map(tuple, scalar.equispaced(spark, 4, 4, 1).collect())) == [(2, 2)]
+    assert sorted(y * 8 + x for x, y in scalar.equispaced(spark, 8, 8, 7).collect()) == [0, 9, 18, 27, 37, 46, 55]
     assert {tuple(r) for r in scalar.dict_sum(spark.createDataFrame([("a", 1)], "k string, v long"), spark.createDataFrame([("a", 2), ("b", 3)], "k string, v long")).collect()} == {("a", 3), ("b", 3)}
 
 
