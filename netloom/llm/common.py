@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.tables import settled
+
 #: Bytes of text that one numpy step works on; a longer single text makes a step of its own.
 STEP_BYTES = 1 << 20
 #: Rows of an Arrow batch, at most. Texts are long, and a batch is held by Spark and by Python.
@@ -44,15 +45,6 @@ def fold(column: str, parts: int):
     return F.crc32(F.col(column).cast("string")) % parts
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The schema of df with more fields."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
@@ -60,10 +52,25 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return settled(df, name)
+
+
+#: A key is heavy if it has more than this share of the rows; there are at most 1 / HEAVY heavy ones.
+HEAVY = 0.001
+
+
+def with_one(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """rows (a written table) joined with a table of one row a key, which says in `count` how many rows have that key.
+
+    The rows of a heavy key aren't brought together: at most 1 / HEAVY keys can be heavy, at every size, so their part of
+    the table is broadcast. Of the other keys none makes more than a task's fair share.
+    """
+    total = rows.count()
+    table = written(table, "by_key")
+    heavy = F.col(count) > max(1000, int(total * HEAVY))
+    hot = F.broadcast(table.where(heavy).drop(count))
+    light = rows.join(hot.select(key), key, "left_anti").join(table.where(~heavy).drop(count), key)
+    return rows.join(hot, key).unionByName(light)
 
 
 def steps(texts: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import with_one, written
 
 #: A chunk has about this many words (a power of two).
 CHUNK_WORDS = 128
@@ -56,7 +56,7 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     recipes = written(recipes, "recipes")
     first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row")))
     groups = recipes.groupBy("recipe").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    return recipes.join(groups, "recipe").select(F.col("id").alias(id_column), F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
+    return with_one(recipes, groups.withColumn("n", F.col("group_size")), "recipe", "n").select(F.col("id").alias(id_column), F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
 
 
 ORACLE = """

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("netloom.llm")
 from netloom.llm import contexttree, decontaminate, exactdedup, htmltext, langid, linededup, ngramjoin, pieces, pii, queries, secrets  # noqa: E402
@@ -226,25 +227,32 @@ def test_secrets(spark):
 
 
 def brute_lines(rows):
-    seen, out, parts = {}, {}, []
+    """All pairs of equal lines, extended to the right as far as they go; a run of a window's length at least is a repeat."""
+    lines, places, full = {}, {}, {}
     for i, text in rows:
-        ls = (text or "").split("\n")
-        units = [(k, x.strip(" \t\r\f\v")) for k, x in enumerate(ls) if x.strip(" \t\r\f\v")]
-        for s in range(len(units)):
-            words = 0
-            for n in range(1, linededup.MIN_LINES + 1):
-                if s + n > len(units):
-                    break
-                words += units[s + n - 1][1].count(" ") + 1
-                if words >= linededup.MIN_WORDS or n == linededup.MIN_LINES:
-                    parts.append((tuple(u[1] for u in units[s : s + n]), (i, s), [u[0] for u in units[s : s + n]]))
-                    break
-    for key, at, _ in parts:
-        seen[key] = min(seen.get(key, at), at)
-    for i, text in rows:
-        gone = {k for key, at, ks in parts if at[0] == i and seen[key] < at for k in ks}
-        out[i] = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
-    return out
+        for k, x in enumerate((text or "").split("\n")):
+            if x.strip(" \t\r\f\v"):
+                lines.setdefault(i, []).append((k, x.strip(" \t\r\f\v")))
+        for s, (_, x) in enumerate(lines.get(i, [])):
+            places.setdefault(x, []).append((i, s))
+            words, n = 0, 0
+            while words < linededup.MIN_WORDS and n < linededup.MIN_LINES and s + n < len(lines[i]):
+                words += lines[i][s + n][1].count(" ") + 1
+                n += 1
+            full[i, s] = n if words >= linededup.MIN_WORDS or n == linededup.MIN_LINES else math.inf
+    gone = {i: set() for i, _ in rows}
+    for same in places.values():
+        same.sort()
+        for k, (j, q) in enumerate(same):
+            longest = 0
+            for i, p in same[:k]:
+                n = 0
+                while p + n < len(lines[i]) and q + n < len(lines[j]) and lines[i][p + n][1] == lines[j][q + n][1]:
+                    n += 1
+                longest = max(longest, n)
+            if longest >= full[j, q]:
+                gone[j] |= {at for at, _ in lines[j][q : q + longest]}
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
 
 
 def test_lines_against_brute_force(spark):
@@ -258,6 +266,25 @@ def test_lines_against_brute_force(spark):
     assert linededup.lines_filtered(frame(spark, [])).count() == 0
 
 
+def test_matches_are_extended(spark):
+    """Short lines after a long one go with it, also where the first copy of the long line goes on otherwise."""
+    long = "word " * 25
+    rows = [(1, f"{long}\nz"), (2, f"{long}\na\nb\nc"), (3, f"{long}\na\nb\nd"), (4, f"y\n{long}\na\nd"), (5, "a\nb"), (6, f"x\nx\nx\nx\nx\n{long}")]
+    got = {x["doc_id"]: x["text"] for x in linededup.without_repeats(frame(spark, rows)).collect()}
+    assert got == brute_lines(rows) == {1: f"{long}\nz", 2: "a\nb\nc", 3: "d", 4: "y\nd", 5: "a\nb", 6: "x"}
+
+
+def test_heavy_keys(spark, monkeypatch):
+    """Rows of keys with many rows are joined by broadcast, the others by a shuffle; none is lost."""
+    from netloom.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", 0.2)
+    rows = common.written(spark.range(9000).selectExpr("IF(id < 4000, 0, IF(id < 8000, id, null)) AS k", "id"), "rows")
+    table = rows.groupBy("k").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    got = common.with_one(rows, table, "k", "n")
+    assert {(x["k"], x["id"], x["least"]) for x in got.collect()} == {(0, k, 0) for k in range(4000)} | {(k, k, k) for k in range(4000, 8000)}
+
+
 def test_exact_dedup(spark):
     r = random.Random(6)
     texts = [" ".join(r.choices("abcdef", k=r.choice([1, 5, 700]))) for _ in range(12)]
