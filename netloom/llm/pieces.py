@@ -3,13 +3,12 @@
 The model file, a serialised protobuf, is read field by field here. From it come the normaliser (its precompiled
 character map, white-space rules, dummy prefix), the metaspace marker U+2581, the pieces with their scores (a unigram
 model, or merges in the order of the scores for a BPE model) and byte fallback. Batches are encoded on several threads.
-Parity with the `sentencepiece` library is verified on all words.
+Every text is encoded whole, its own ids are decoded, and `sentencepiece` encodes it whole, too, for parity.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,7 +23,6 @@ from .common import with_fields
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
-_WORDS = re.compile(f"{META}*[^{META}]+|{META}+")
 #: Kinds of pieces and of models, as the format numbers them.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -172,95 +170,56 @@ def read_model(path: str) -> bytes:
 
 
 class Encoder:
-    """Encodes lists of texts, decodes the ids again, and says whether `sentencepiece` gives the same ids.
+    """Encodes whole texts, decodes their ids again, and says whether `sentencepiece` gives the same ids for the whole text."""
 
-    No piece goes on past the end of a word (else texts are handled whole, one by one), so that the ids of a text are those
-    of its words, one after another, in either library, and so is what they decode to. Words that were not seen before are
-    encoded together, in blocks on several threads, and each block is verified as a whole; if a block differs anywhere,
-    its words are done singly. At most MOST_WORDS are remembered.
-    """
-
-    MOST_WORDS, BLOCKS = 600_000, 4
-
-    def __init__(self, data: bytes, threads: int = 2, verify: bool = True, most_words: int | None = None) -> None:
-        self.most_words = most_words or self.MOST_WORDS
+    def __init__(self, data: bytes, threads: int = 2, verify: bool = True) -> None:
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
         self.model = PieceModel.parse(data)
-        self.whole = tokenizer(self.model)
-        self.by_word = not self.model.crossing and self.model.dummy_prefix and not self.model.trim_spaces and not self.model.charsmap
-        self.words: dict[str, bytes] = {}  # ids as four bytes each
-        self.wrong: set[str] = set()
-        self.odd: dict[str, str] = {}
+        self.tokenizer = tokenizer(self.model)
+        spaced = lambda p: p.replace(META, " ").encode()
+        plain = (NORMAL, USER_DEFINED, UNUSED)
+        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else spaced(p) if kind in plain else None for p, _, kind in self.model.pieces]
         self.other = None
         if verify:
             import sentencepiece
 
             self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
-        if self.by_word:
-            from tokenizers import normalizers
-
-            self.normal = tokenizer(self.model)  # for text that is normalised already
-            self.normal.normalizer = normalizers.Sequence([])
-            self.first = np.array([p.startswith(META) for p, _, _ in self.model.pieces])
-
-    def learn(self, words: set[str]) -> None:
-        plain = [w for w in words if len(w) > 1 and w[1] != META]
-        single = [w for w in words if len(w) < 2 or w[1] == META]
-        size = max(1, -(-len(plain) // self.BLOCKS))
-        blocks = [plain[k : k + size] for k in range(0, len(plain), size)]
-        for block, found in zip(blocks, self.normal.encode_batch_fast(["".join(b) for b in blocks], add_special_tokens=False), strict=True):
-            ids = found.ids
-            raw = " ".join([w[1:] for w in block])
-            cut = np.flatnonzero(self.first[np.array(ids, np.int64)])
-            if len(cut) == len(block) and (not self.other or self.other.encode(raw, num_threads=1) == ids) and self.whole.decode(ids, skip_special_tokens=False) == raw:
-                packed, at = np.array(ids, "<i4").tobytes(), (4 * cut).tolist()
-                self.words.update(zip(block, map(packed.__getitem__, map(slice, at, [*at[1:], len(packed)])), strict=True))
-            else:
-                single += block
-        if single:
-            for w, e in zip(single, self.normal.encode_batch_fast(single, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<i4").tobytes()
-                if (back := self.whole.decode(e.ids, skip_special_tokens=False)) != w[1:].replace(META, " "):
-                    self.odd[w] = back
-                if self.other and ([self.other.piece_to_id(META)] if w == META else self.other.encode(w[1:].replace(META, " "))) != e.ids:
-                    self.wrong.add(w)
-
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[str], list[bool | None]]:
-        """ids (four bytes each), decoded texts and parity."""
-        if not self.by_word:
-            ids = [e.ids if x else [] for x, e in zip(texts, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
-            same = [x == y for x, y in zip(ids, self.other.encode(texts, num_threads=1), strict=True)] if self.other else [None] * len(texts)
-            return [np.array(x, "<i4").tobytes() for x in ids], self.whole.decode_batch(ids, skip_special_tokens=False), same
-        if len(self.words) > self.most_words:
-            self.words, self.wrong, self.odd = {}, set(), {}
-        cut = [_WORDS.findall(META + x.replace(" ", META)) if x else [] for x in texts]
-        new = set(chain.from_iterable(cut)) - self.words.keys()
-        if new:
-            self.learn(new)
-        ids = [b"".join(map(self.words.__getitem__, words)) for words in cut]
-        back = [x.replace(META, " ") if self.odd.keys().isdisjoint(words) else " ".join([self.odd.get(w) or w[1:].replace(META, " ") for w in words]) for x, words in zip(texts, cut, strict=True)] if self.odd else [x.replace(META, " ") for x in texts]
-        return ids, back, [self.wrong.isdisjoint(words) for words in cut] if self.other else [None] * len(texts)
-
-
-def listed(ids: list[bytes]) -> pa.ListArray:
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: their pieces' bytes put together. What isn't text then, or has an unknown or control piece, is left to the library's decoder."""
+        try:
+            text = b"".join(map(self.bytes.__getitem__, ids)).decode()
+        except (TypeError, UnicodeDecodeError):
+            return self.tokenizer.decode(ids, skip_special_tokens=False)
+        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[str], list[bool | None]]:
+        """ids, what they decode to, and parity. An empty text has no ids in either library."""
+        ids = [e.ids if x else [] for x, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
+        same = [x == y for x, y in zip(ids, self.other.encode(texts, num_threads=1), strict=True)] if self.other else [None] * len(texts)
+        return ids, [self.decode(x) for x in ids], same
+
+
+def listed(ids: list[list[int]]) -> pa.ListArray:
     offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))))
 
 
-def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", threads: int = 2, verify: bool = True, most_words: int | None = None) -> DataFrame:
+def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", threads: int = 2, verify: bool = True) -> DataFrame:
     """docs with `ids`, the token ids of the whole text, `decoded`, what they decode to, `round_trip`, whether that is the text again, and `parity`, whether `sentencepiece` gives the same ids (null without verify).
 
     A null or empty text has no ids and decodes to the empty text. A text that itself has the metaspace marker decodes to
     spaces there, as it does in `sentencepiece`. Rows are handled one by one, so repeated rows get equal ids; columns of
-    docs with the results' names are replaced, other columns stay.
+    docs with the results' names are replaced, other columns stay. A very long text is encoded in a call of its own; calls
+    hold about CALL_CHARS characters otherwise.
     """
     data = read_model(model)
     docs = docs.drop("ids", "decoded", "round_trip", "parity")
     at = docs.columns.index(text)
 
     def encode(batches):
-        encoder = Encoder(data, threads, verify, most_words)
+        encoder = Encoder(data, threads, verify)
         for b in batches:
             first = 0
             for run in runs([x or "" for x in b.column(at).to_pylist()]):

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -216,6 +217,48 @@ def test_pieces(spark):
     assert (whole.kind, whole.byte_fallback, len(whole.pieces), whole.crossing) == (pieces.BPE, True, 32000, False)
 
 
+def model_file(texts, kind, fallback, trim=False):
+    """A serialised model with these pieces, made by hand: longer ones score better."""
+
+    def number(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
+
+    def field(key, value):
+        if isinstance(value, float):
+            return number(key << 3 | 5) + struct.pack("<f", value)
+        if isinstance(value, int):
+            return number(key << 3) + number(value)
+        return number(key << 3 | 2) + number(len(value)) + value
+
+    listed = [("<unk>", 0.0, pieces.UNKNOWN), ("<s>", 0.0, pieces.CONTROL), ("</s>", 0.0, pieces.CONTROL)]
+    listed += [(f"<0x{b:02X}>", 0.0, pieces.BYTE) for b in range(256)] if fallback else []
+    listed += [(t, -float(k + 1) / len(t), pieces.NORMAL) for k, t in enumerate(texts)]
+    out = b"".join(field(1, field(1, t.encode()) + field(2, score) + field(3, k)) for t, score, k in listed)
+    return out + field(2, field(3, kind) + field(35, int(fallback)) + field(40, 0) + field(41, 1) + field(42, 2)) + field(3, field(1, b"identity") + field(3, 1) + field(4, int(trim)) + field(5, 1))
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+@pytest.mark.parametrize("crossing", [True, False])
+@pytest.mark.parametrize("kind", [pieces.UNIGRAM, pieces.BPE])
+def test_other_models(kind, crossing, fallback):
+    """Unigram models, pieces that cross words, and unknown characters, against the library."""
+    texts = ["▁", *"abcde", "▁a", "ab", "▁ab", "cd", "de", "▁cd", "abc", "▁▁", *(["b▁c", "a▁"] if crossing else [])]
+    model = model_file(texts, kind, fallback)
+    e = pieces.Encoder(model)
+    assert e.model.crossing == crossing and e.model.kind == kind
+    r = random.Random(kind)
+    sample = ["", " ", "a", *["".join(r.choices("abcde  z", k=r.randint(1, 30))) for _ in range(300)]]
+    ids, back, same = e.encode(sample)
+    assert all(same) and [x == y for x, y in zip(back, sample, strict=True)] == [fallback or "z" not in x for x in sample]
+
+
+def test_decoding_against_the_library():
+    e, r = pieces.Encoder(pieces.read_model(pieces.MODEL)), random.Random(8)
+    for _ in range(300):
+        ids = [r.randrange(3, 32000) if r.random() < 0.7 else r.randrange(3, 259) for _ in range(r.randint(0, 12))]
+        assert e.decode(ids) == e.tokenizer.decode(ids, skip_special_tokens=False)
+
+
 def test_secrets(spark):
     r = random.Random(4)
     bits = ["token", "=", ":", " ", "'", "password", "api_key", "AKIA", "ABC123", "0123456789abcdef", "é", "ghp_", "a" * 40, "eyJabc.", "-", "x", "SECRET", "\n"]
