@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import with_fields
 
@@ -176,6 +177,12 @@ class Encoder:
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
         self.model = PieceModel.parse(data)
         self.tokenizer = tokenizer(self.model)
+        m = self.model
+        self.plain = m.dummy_prefix and not m.trim_spaces and not m.charsmap and not any(kind == USER_DEFINED for _, _, kind in m.pieces)
+        if self.plain:  # a prefix and markers for spaces are all that the normaliser adds: strings do that cheaper
+            from tokenizers import normalizers
+
+            self.tokenizer.normalizer = normalizers.Sequence([])
         spaced = lambda p: p.replace(META, " ").encode()
         plain = (NORMAL, USER_DEFINED, UNUSED)
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else spaced(p) if kind in plain else None for p, _, kind in self.model.pieces]
@@ -195,7 +202,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[str], list[bool | None]]:
         """ids, what they decode to, and parity. An empty text has no ids in either library."""
-        ids = [e.ids if x else [] for x, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
+        normal = [META + x.replace(" ", META) for x in texts] if self.plain else texts
+        ids = [e.ids if x else [] for x, e in zip(texts, self.tokenizer.encode_batch_fast(normal, add_special_tokens=False), strict=True)]
         same = [x == y for x, y in zip(ids, self.other.encode(texts, num_threads=1), strict=True)] if self.other else [None] * len(texts)
         return ids, [self.decode(x) for x in ids], same
 
@@ -206,8 +214,11 @@ def listed(ids: list[list[int]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))))
 
 
-def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", threads: int = 2, verify: bool = True) -> DataFrame:
-    """docs with `ids`, the token ids of the whole text, `decoded`, what they decode to, `round_trip`, whether that is the text again, and `parity`, whether `sentencepiece` gives the same ids (null without verify).
+RESULTS = {"ids": "array<int>", "decoded": "string", "round_trip": "boolean", "parity": "boolean"}
+
+
+def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", threads: int = 2, verify: bool = True, columns: list[str] | None = None) -> DataFrame:
+    """docs with `ids`, the token ids of the whole text, `decoded`, what they decode to, `round_trip`, whether that is the text again, and `parity`, whether `sentencepiece` gives the same ids (null without verify); or, of all these, `columns` only.
 
     A null or empty text has no ids and decodes to the empty text. A text that itself has the metaspace marker decodes to
     spaces there, as it does in `sentencepiece`. Rows are handled one by one, so repeated rows get equal ids; columns of
@@ -215,8 +226,10 @@ def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", threads: in
     hold about CALL_CHARS characters otherwise.
     """
     data = read_model(model)
-    docs = docs.drop("ids", "decoded", "round_trip", "parity")
+    docs = docs.drop(*RESULTS)
     at = docs.columns.index(text)
+    out = with_fields(docs, ", ".join(f"{k} {v}" for k, v in RESULTS.items()))
+    names = columns or out.names
 
     def encode(batches):
         encoder = Encoder(data, threads, verify)
@@ -226,12 +239,12 @@ def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", threads: in
                 ids, back, parity = encoder.encode(run)
                 own = b.slice(first, len(run))
                 first += len(run)
-                results = [listed(ids), pa.array(back, pa.string()), pa.array([x == y for x, y in zip(run, back, strict=True)]), pa.array(parity, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*own.columns, *results], names=[*own.schema.names, "ids", "decoded", "round_trip", "parity"])
+                made = {"ids": lambda ids=ids: listed(ids), "decoded": lambda back=back: pa.array(back, pa.string()), "round_trip": lambda run=run, back=back: pa.array([x == y for x, y in zip(run, back, strict=True)]), "parity": lambda parity=parity: pa.array(parity, pa.bool_())}
+                yield pa.RecordBatch.from_arrays([made[n]() if n in made else own.column(n) for n in names], names=names)
 
-    return docs.mapInArrow(encode, with_fields(docs, "ids array<int>, decoded string, round_trip boolean, parity boolean"))
+    return docs.mapInArrow(encode, StructType([out[n] for n in names]))
 
 
 def pieces_digest(docs: DataFrame) -> DataFrame:
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return encoded(docs.select("doc_id", "text")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), "round_trip", "parity")
+    return encoded(docs.select("doc_id", "text"), columns=["doc_id", "ids", "round_trip", "parity"]).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), "round_trip", "parity")
