@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, whether they decode to it again, and whether they are those of the model's own library."""
     small_batches(spark)
-    out = pieces.encoded(docs.select("doc_id", "lang", "source", "text"))
+    out = pieces.encoded(docs.select("doc_id", "lang", "source", "text"), columns=["doc_id", "lang", "source", "ids", "round_trip", "parity"])
     return out.selectExpr("doc_id", "lang", "source", "CAST(size(ids) AS BIGINT) AS n_tokens", "ids", "round_trip", "parity")
 
 
