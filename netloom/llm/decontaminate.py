@@ -2,7 +2,8 @@
 
 Texts are lower-cased (A-Z) and split into words. A benchmark item and a document that share a seed, a run of MIN_MATCH
 words, are compared by greedy string tiling: again and again the longest common runs of words that are not marked yet are
-marked in both, found by Karp-Rabin fingerprints of a running length; matches shorter than MIN_MATCH don't count. The
+marked in both, found by Karp-Rabin fingerprints of a running length; matches shorter than MIN_MATCH don't count, but an
+item of fewer words is matched whole. The
 share of the item's words in tiles is its coverage, whatever the order of the tiles, so that reordered passages are
 caught. A document is contaminated by an item whose coverage is at least COVERAGE.
 
@@ -89,42 +90,43 @@ def blocks(benchmark: DataFrame, most: int):
 
 
 class Items:
-    """A block of items: their word hashes and seeds."""
+    """A block of items: their word hashes, and their seeds by length: runs of `least` words, or an item of fewer words as a whole."""
 
     def __init__(self, rows: list[tuple[int, str]], least: int) -> None:
-        self.ids, self.words, seeds, owners = [], [], [], []
+        self.least, self.ids, self.words, seeds = least, [], [], defaultdict(list)
         for item, text in sorted(set(rows)):
             data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
             hashes, _, _, first = words(data, np.array([0, len(data)]))
-            n = min(least, len(hashes))
-            if not n:
+            if not len(hashes):
                 continue
+            n = min(least, len(hashes))
             found, _ = shingles(hashes, first, n)
-            if n < least:
-                found = np.zeros(0, np.uint64)  # an item of fewer words than a match can't be covered
-            seeds.append(found)
-            owners.append(np.full(len(found), len(self.ids)))
+            seeds[n].append((found, np.full(len(found), len(self.ids))))
             self.ids.append(item)
             self.words.append(hashes.tolist())
-        seeds, owners = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (seeds, owners))
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owners = seeds[order], owners[order].astype(np.int64)
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[(self.seeds >> np.uint64(42)).astype(np.int64)] = True
+        self.seeds = {}
+        for n, parts in seeds.items():
+            found, owners = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(found, kind="stable")
+            some = np.zeros(1 << 22, bool)
+            some[(found >> np.uint64(42)).astype(np.int64)] = True
+            self.seeds[n] = found[order], owners[order].astype(np.int64), some
 
 
-def matches(texts: pa.Array, items: Items, least: int):
+def matches(texts: pa.Array, items: Items):
     """(row, number of the item, tiles, the item's words) for each text and item that share a seed."""
     for at, _, data, offsets in steps(texts):
         hashes, _, _, first = words(data, offsets)
-        if len(hashes) < least:
-            continue
-        found, edge = shingles(hashes, first, least)
-        hits = np.flatnonzero(items.filter[(found >> np.uint64(42)).astype(np.int64)])
-        low, high = np.searchsorted(items.seeds, found[hits], "left"), np.searchsorted(items.seeds, found[hits], "right")
-        pairs = {(int(d), int(o)) for d, a, z in zip(np.searchsorted(edge, hits, "right") - 1, low, high, strict=True) for o in items.owners[a:z]}
+        pairs = set()
+        for n, (seeds, owners, some) in items.seeds.items():
+            if len(hashes) < n:
+                continue
+            found, edge = shingles(hashes, first, n)
+            hits = np.flatnonzero(some[(found >> np.uint64(42)).astype(np.int64)])
+            low, high = np.searchsorted(seeds, found[hits], "left"), np.searchsorted(seeds, found[hits], "right")
+            pairs |= {(int(d), int(o)) for d, a, z in zip(np.searchsorted(edge, hits, "right") - 1, low, high, strict=True) for o in owners[a:z]}
         for d, o in sorted(pairs):
-            t = tiles(items.words[o], hashes[first[d] : first[d + 1]].tolist(), least)
+            t = tiles(items.words[o], hashes[first[d] : first[d + 1]].tolist(), min(items.least, len(items.words[o])))
             if t:
                 yield at + d, o, t, items.words[o]
 
@@ -139,7 +141,7 @@ def coverage(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, bloc
             names = ["id", "th", "item_id", "n_tiles", "covered", "item_words"]
             for b in batches:
                 result = [[] for _ in names]
-                for d, o, t, item in matches(b.column(2), items, least):
+                for d, o, t, item in matches(b.column(2), items):
                     for column, value in zip(result, (b.column(0)[d].as_py(), b.column(1)[d].as_py(), items.ids[o], len(t), sum(x[2] for x in t), len(item)), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in result], names=names)
@@ -155,7 +157,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = COVERAGE,
     """docs with `items`, the sorted ids of the items that cover them, and `coverage`, the largest share of an item's words in tiles.
 
     A null or empty text, and one without a seed, has no items and coverage 0; so has every text if the benchmark is
-    empty; items that are null, empty or shorter than a match cover nothing; repeated items count once. Rows that repeat
+    empty; items that are null or empty cover nothing, and one of fewer words than a match covers the texts that hold it
+    whole; repeated items count once. A very long text makes a step of its own and is compared whole. Rows that repeat
     a document get equal results, null ids are handled like others. Columns of docs with the results' names are replaced,
     other extra columns stay.
     """
@@ -186,7 +189,7 @@ def leaks_filtered(docs: DataFrame, benchmark: DataFrame, share: float = COVERAG
         def clean(batches, items=items):
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                for d, _, t, item in matches(b.column(at), items, least):
+                for d, _, t, item in matches(b.column(at), items):
                     keep[d] &= sum(x[2] for x in t) < share * len(item)
                 yield b.filter(pa.array(keep))
 

@@ -3,14 +3,16 @@
 Documents with equal sets make a class; classes are joined. Sizes are dealt into bands. In a band the universe of n-grams
 is split by hash into as many segments as two linked sets of the band may differ in elements, and one more. By the
 pigeonhole principle, two linked sets are equal in a segment; and if one segment may differ by one element, one equal
-segment less needs to be looked up. So each set indexes the hash of its part of every segment, and for the first segment
-also those of its one-deletion neighbourhood; and it looks up a choice of segments, allocated by cost: the numbers of
-index entries, counted over all documents in a sketch of fixed size, that share a counter with the entry. Costs steer the
-choice only, any choice finds all links. Candidates are verified exactly on the sets of 64-bit n-gram hashes.
+segment less needs to be looked up. So each set indexes the hash of its part of every segment, and for the first NEAR
+segments also those of its one-deletion neighbourhood; and it looks up a choice of segments, allocated by cost: the numbers
+of index entries, counted over all documents in a sketch of fixed size, that share a counter with the entry. Costs steer the
+choice only, any choice finds all links. Candidates are verified exactly on the sets of
+64-bit n-gram hashes: two n-grams count as equal if their hashes are.
 
 Sets that share an index entry make a bucket. Of a small bucket (BUCKET at most) all pairs are candidates. In a large one
 all members are compared with its least member first; then those that are in different components still are matched
-within the bucket. No text is fetched for pairs that a parity sketch rules out: each element flips one of PARITY bits of
+within the bucket, block by block. An entry that the sketch shows to be frequent is split: its members are dealt into
+buckets of their own, whose least members are compared with the least of all. No text is fetched for pairs that a parity sketch rules out: each element flips one of PARITY bits of
 its set, so that the sketches of two sets differ in no more bits than the sets differ in elements. That bound is exact,
 it never rules out a link, and it holds as a join condition, so that a group of thousands of near copies makes few rows.
 
@@ -22,6 +24,7 @@ compared in full, on the sets themselves. That is quadratic in the classes of a
 from __future__ import annotations
 
 from bisect import bisect_right
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,10 @@ BLOCK, BLOCK_GRAMS, WIDTH = 256, 1_000_000, 4096
 #: Bits of a parity sketch.
 PARITY = 1024
 INDEX, PROBE = 1, 2
+#: Segments of a band whose one-deletion neighbourhoods are indexed. Each adds about as many entries to a set's index as a segment has elements.
+NEAR = 2
+#: An entry is split if its counter shows more than SPLIT times the mean. Members of a bucket that are in a block when what a large one leaves is compared.
+SPLIT, MEMBERS = 4, 1000
 _SPREAD, _NEAR = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -69,57 +76,61 @@ class Scheme:
         return self.differ(last, last) + 1
 
     def parts(self, s: np.ndarray, band: int):
-        """Of a set the entry of each segment, the same as near entry for the first, and the first's entries without one element, plain and near."""
+        """Of a set the entry of each segment, and for each segment with one-deletion neighbourhoods: its entry as a near one, and its entries without one element, plain and near."""
         m = self.segments(band)
         base = (np.arange(m, dtype=np.uint64) + np.uint64(band << 32)) * np.uint64(_SPREAD)
         if m == 1:
-            total, first = np.array([s.sum(dtype=np.uint64)]), s
-        else:
-            segment = ((s >> np.uint64(17)) % np.uint64(m)).astype(np.int64)
-            high = np.bincount(segment, (s >> np.uint64(32)).astype(np.float64), m).astype(np.uint64)
-            low = np.bincount(segment, (s & np.uint64(0xFFFFFFFF)).astype(np.float64), m).astype(np.uint64)
-            total, first = (high << np.uint64(32)) + low, s[segment == 0]
-        without = total[0] - first + base[0]
-        return mix(total + base), mix(total[:1] + base[:1] + _NEAR), mix(without), mix(without + _NEAR)
-
-    def allocated(self, costs: np.ndarray, near_cost: float, units: int) -> tuple[np.ndarray, bool]:
-        """The segments to look up exactly, and whether the first one is looked up with one difference (it counts twice)."""
+            return mix(np.array([s.sum(dtype=np.uint64)]) + base), []
+        segment = ((s >> np.uint64(17)) % np.uint64(m)).astype(np.int64)
+        high = np.bincount(segment, (s >> np.uint64(32)).astype(np.float64), m).astype(np.uint64)
+        low = np.bincount(segment, (s & np.uint64(0xFFFFFFFF)).astype(np.float64), m).astype(np.uint64)
+        total = (high << np.uint64(32)) + low
+        around = []
+        for q in range(min(NEAR, m)):
+            without = total[q] - s[segment == q] + base[q]
+            around.append((mix(total[q : q + 1] + base[q : q + 1] + _NEAR), mix(without), mix(without + _NEAR)))
+        return mix(total + base), around
+
+    def allocated(self, costs: np.ndarray, near: list[float], units: int) -> tuple[np.ndarray, tuple[int, ...]]:
+        """The segments to look up exactly, and those to look up with one difference as well, which count twice: the cheapest choice that counts `units` (or all)."""
         m = len(costs)
-        units = min(units, m)
-        order = np.argpartition(costs, units - 1)[:units] if units < m else np.arange(m)
-        if units >= 2 and m > 1:
-            rest = 1 + (np.argpartition(costs[1:], units - 3)[: units - 2] if units > 2 else np.zeros(0, np.int64))
-            if near_cost + costs[rest].sum() < costs[order].sum():
-                return rest, True
-        return order, False
+        best = None
+        for chosen in (c for k in range(len(near) + 1) for c in combinations(range(len(near)), k)):
+            if chosen and 2 * len(chosen) > max(units, 2):
+                continue
+            rest = np.delete(np.arange(m), chosen)
+            need = min(max(0, units - 2 * len(chosen)), len(rest))
+            rest = rest[np.argpartition(costs[rest], need - 1)[:need]] if 0 < need < len(rest) else rest[:need]
+            price = costs[rest].sum() + sum(costs[q] + near[q] for q in chosen)
+            if best is None or price < best[0]:
+                best = price, rest, chosen
+        return best[1], best[2]
 
     def entries(self, s: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Entries and roles of a set; with no counts, those that it indexes."""
         n, out, roles = len(s), [], []
         own, most = self.band(n), self.largest(n)
-        exact, near, less, less_near = self.parts(s, own)
-        if self.segments(own) == 1:
-            less, less_near = less[:0], less_near[:0]
+        exact, around = self.parts(s, own)
         if counts is None:
-            return np.concatenate([exact, less_near]), None
+            return np.concatenate([exact, *(x[2] for x in around)]), None
         for band in range(own, self.band(most) + 1):
             if band > own:
-                exact, near, less, less_near = self.parts(s, band)
+                exact, around = self.parts(s, band)
             cost = lambda x: counts[x >> np.uint64(48)] + 1.0
-            costs = cost(exact)
-            chosen, differs = self.allocated(costs, costs[0] + cost(near).sum() + cost(less).sum(), self.differ(n, min(most, self.last(band))) + 1)
+            chosen, nearly = self.allocated(cost(exact), [cost(x[0]).sum() + cost(x[1]).sum() for x in around], self.differ(n, min(most, self.last(band))) + 1)
             role = np.zeros(len(exact), np.int8)
             role[chosen] = PROBE
-            role[0] |= PROBE * differs
+            role[list(nearly)] = PROBE
             if band == own:
                 role |= INDEX
-                out.append(less_near)
-                roles.append(np.full(len(less_near), INDEX, np.int8))
+                for _, _, less_near in around:
+                    out.append(less_near)
+                    roles.append(np.full(len(less_near), INDEX, np.int8))
             out.append(exact[role > 0])
             roles.append(role[role > 0])
-            if differs:
-                out += [near, less]
-                roles.append(np.full(1 + len(less), PROBE, np.int8))
+            for q in nearly:
+                out += around[q][:2]
+                roles.append(np.full(1 + len(around[q][1]), PROBE, np.int8))
         return np.concatenate(out), np.concatenate(roles)
 
 
@@ -179,39 +190,49 @@ def counted(sets: DataFrame) -> np.ndarray:
 
 def candidates(docs: DataFrame, size: int, scheme: Scheme, counts: np.ndarray) -> DataFrame:
     """From small buckets pairs (a, b) of ids; from large ones (entry, pivot a, member b, n, role). The pivot is the member with the least id: what others were copied from is likely older."""
+    # buckets that an entry is dealt into, by its counter; at most 1 / SPLIT of the counters have more than one
+    split = np.ceil(counts / max(1.0, SPLIT * counts.mean())).clip(1).astype(np.int64)
 
     def index(batches):
         for b in batches:
-            keys, n, entries, roles = [], [], [], []
+            keys, n, entries, roles, salts = [], [], [], [], []
             ids = b.column(0).to_pylist()
             for k, s in enumerate(shingle_sets(b.column(1), size)):
                 if len(s):
                     e, r = scheme.entries(s, counts)
+                    parts = split[(e >> np.uint64(48)).astype(np.int64)]
                     keys.append(ids[k])
                     n.append(len(s))
                     entries.append(e.view(np.int64))
                     roles.append(r)
+                    own = int(mix(np.array([ids[k]], np.int64).view(np.uint64))[0] >> np.uint64(1))
+                    salts.append(np.where(parts > 1, own % parts, -1).astype(np.int32))
                 if len(keys) >= 1000:
-                    yield pack(keys, n, entries, roles)
-                    keys, n, entries, roles = [], [], [], []
+                    yield pack(keys, n, entries, roles, salts)
+                    keys, n, entries, roles, salts = [], [], [], [], []
             if keys:
-                yield pack(keys, n, entries, roles)
+                yield pack(keys, n, entries, roles, salts)
 
-    def pack(keys, n, entries, roles):
+    def pack(keys, n, entries, roles, salts):
         edge = pa.array(np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32))
-        columns = [pa.array(keys, pa.int64()), pa.array(np.array(n, np.int32)), pa.ListArray.from_arrays(edge, pa.array(np.concatenate(entries))), pa.ListArray.from_arrays(edge, pa.array(np.concatenate(roles)))]
-        return pa.RecordBatch.from_arrays(columns, names=["b", "n", "entries", "roles"])
+        lists = [pa.ListArray.from_arrays(edge, pa.array(np.concatenate(x))) for x in (entries, roles, salts)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.array(n, np.int32)), *lists], names=["b", "n", "entries", "roles", "salts"])
 
-    rows = docs.select("id", "text").mapInArrow(index, "b long, n int, entries array<long>, roles array<tinyint>")
-    rows = rows.select("b", "n", F.explode(F.arrays_zip("entries", "roles")).alias("e")).select("b", "n", F.col("e.entries").alias("entry"), F.col("e.roles").alias("role"))
-    group, order = Window.partitionBy("entry"), Window.partitionBy("entry").orderBy("b")
+    rows = docs.select("id", "text").mapInArrow(index, "b long, n int, entries array<long>, roles array<tinyint>, salts array<int>")
+    rows = rows.select("b", "n", F.explode(F.arrays_zip("entries", "roles", "salts")).alias("e")).select("b", "n", F.col("e.entries").alias("entry"), F.col("e.roles").alias("role"), F.col("e.salts").alias("salt"))
+    group, order = Window.partitionBy("entry", "salt"), Window.partitionBy("entry", "salt").orderBy("b")
     before = [F.lag(F.struct("b", "n", "role"), k).over(order) for k in range(1, BUCKET)]
-    found = rows.select("*", F.count(F.lit(1)).over(group).alias("members"), F.first(F.struct("b", "n")).over(order).alias("pivot"), F.array(*before).alias("before")).where("members > 1")
+    # salt is -1 where an entry isn't split
+    found = rows.select("*", F.count(F.lit(1)).over(group).alias("members"), F.first(F.struct("b", "n")).over(order).alias("pivot"), F.array(*before).alias("before")).where("members > 1 OR salt >= 0")
     fits = f"x.b <> b AND greatest(x.n, n) * {scheme.percent} <= 100 * least(x.n, n)"
-    ends = f"IF(members <= {BUCKET}, filter(before, x -> x IS NOT NULL AND {fits} AND x.role | role = 3), IF(pivot.b = b, CAST(array() AS ARRAY<STRUCT<b: BIGINT, n: INT, role: TINYINT>>), array(struct(pivot.b, pivot.n, role))))"
-    found = found.select(F.when(F.col("members") > BUCKET, F.col("entry")).alias("entry"), "b", "n", "role", F.explode(F.expr(ends)).alias("x"))
-    out = found.select("entry", F.col("x.b").alias("a"), "b", "n", F.col("x.n").alias("pivot_n"), "role")
-    return written(out, "candidates")
+    small = f"members <= {BUCKET} AND salt < 0"
+    ends = f"IF({small}, filter(before, x -> x IS NOT NULL AND {fits} AND x.role | role = 3), IF(pivot.b = b AND salt < 0, CAST(array() AS ARRAY<STRUCT<b: BIGINT, n: INT, role: TINYINT>>), array(struct(pivot.b, pivot.n, role))))"
+    found = found.select(F.when(~F.expr(small), F.col("entry")).alias("entry"), "b", "n", "role", F.explode(F.expr(ends)).alias("x"))
+    out = written(found.select("entry", F.col("x.b").alias("a"), "b", "n", F.col("x.n").alias("pivot_n"), "role"), "candidates")
+    # the pivots of a split entry's buckets, which are their own pivots so far, and the least of them
+    pivots = out.where("entry IS NOT NULL AND a = b")
+    least = pivots.groupBy("entry").agg(F.min(F.struct("b", "n")).alias("p"))
+    return out.where("entry IS NULL OR a <> b").union(pivots.join(least, "entry").where("b <> p.b").select("entry", F.col("p.b").alias("a"), "b", "n", F.col("p.n").alias("pivot_n"), "role"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -341,13 +362,16 @@ def jaccard_classes(docs: DataFrame, id_column: str, text: str, size: int, perce
     large = large.select("entry", "b", "role").union(large.select("entry", F.col("a").alias("b"), F.lit(3).cast("tinyint")).distinct())
     large = large.join(of, F.col("b") == F.col("id")).groupBy("entry", F.col("rep").alias("b")).agg(F.bit_or("role").alias("role"))
     large = large.join(joined, F.col("b") == F.col("id"), "left").select("entry", "b", "role", F.coalesce("component", "b").alias("c"))
-    mixed = large.groupBy("entry").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("b").alias("p")).where("low < high").select("entry", "p")
+    mixed = large.groupBy("entry").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("b").alias("p"), F.ceil(F.count(F.lit(1)) / MEMBERS).alias("blocks")).where("low < high").select("entry", "p", "blocks")
     large = written(large.join(mixed, "entry").where("b > p").drop("p"), "large")  # the least member has been compared with all
     if not large.isEmpty():
         own = of.where("id = rep").select(F.col("id").alias("b"), "n", "parity")
-        large = large.join(own, "b")
-        pairs = large.alias("x").join(large.alias("y"), "entry").where("x.b < y.b AND x.c <> y.c AND x.role | y.role = 3 AND " + fits)
-        links = links.union(compared(pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))))
+        # each pair of blocks of an entry is a group of its own
+        large = large.withColumn("block", F.pmod(F.xxhash64("b"), "blocks")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        large = large.select("entry", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "b", "role", "c").join(own, "b")
+        met = "x.c <> y.c AND x.role | y.role = 3 AND (x.block < y.block OR x.block = y.block AND x.b < y.b) AND "
+        pairs = large.alias("x").join(large.alias("y"), ["entry", "low", "high"]).where(met + fits)
+        links = links.union(compared(pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))))
         joined = written(components(links), "components")
     return known, named, joined
 

@@ -69,9 +69,11 @@ def test_join_against_brute_force(spark, size, percent):
     assert got == components(rows, size, percent)
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
-def test_join_gives_every_link(spark, size, percent, monkeypatch):
-    """Class and number of links against all pairs; more near copies than a bucket holds, dealt into several blocks."""
+@pytest.mark.parametrize(("size", "percent", "split"), [(3, 90, 4), (5, 80, 0.01)])
+def test_join_gives_every_link(spark, size, percent, split, monkeypatch):
+    """Class and number of links against all pairs; more near copies than a bucket holds, dealt into several blocks; entries that are split, and those that aren't."""
+    monkeypatch.setattr(ngramjoin, "SPLIT", split)
+    monkeypatch.setattr(ngramjoin, "MEMBERS", 4)
     monkeypatch.setattr(ngramjoin, "BLOCK", 8)
     monkeypatch.setattr(ngramjoin, "WIDTH", 64)
     r, rows = random.Random(size), []
@@ -197,11 +199,12 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(7, " ".join(item)), (7, " ".join(item)), (8, None), (9, "a b"), (None, "x y z u v w")], "item_id long, text string")
     got = {x["doc_id"]: x for x in decontaminate.leaks_digest(frame(spark, rows), bench).collect()}
     assert got[1]["items"] == [7] and got[2]["items"] == [7] and got[2]["coverage"] == 1.0
+    assert got[16]["items"] == got[17]["items"] == [9]  # an item of fewer words than a match, held whole
     assert not got[3]["contaminated"] and got[3]["coverage"] == pytest.approx(8 / 30, abs=1e-5) and not got[4]["contaminated"] and not got[11]["contaminated"]
     left = decontaminate.leaks_filtered(frame(spark, rows), bench)
-    assert left.columns == frame(spark, rows).columns and left.count() == len(rows) - 2
+    assert left.columns == frame(spark, rows).columns and left.count() == len(rows) - 4
     assert decontaminate.leaks_filtered(frame(spark, rows), bench.limit(0)).count() == len(rows)
-    assert decontaminate.contaminated(frame(spark, rows), bench).where("size(items) > 0").count() == 2
+    assert decontaminate.contaminated(frame(spark, rows), bench).where("size(items) > 0").count() == 4
 
 
 def test_pieces(spark):
