@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, shingles, steps, words, written
+from .common import mix, shingles, steps, with_one, words, written
 from .components import components
 
 COUNTERS = 1 << 16
@@ -286,7 +286,7 @@ def shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def completed(joined: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """All links (a, b), a < b, between the representatives of classes, from their components (id, component) and numbers of n-grams (id, n)."""
+    """(id, links): parts of the numbers of links of classes' representatives, from their components (id, component) and numbers of n-grams (id, n). Links are counted where they are found, for each pair of blocks, so that rows don't grow as the links do."""
     groups = joined.join(classes, "id").groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("grams"), F.min("id").alias("a"), F.max("id").alias("b"))
     groups = written(groups, "groups")
     blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS))
@@ -296,7 +296,7 @@ def completed(joined: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     told = told.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "block", "id")
 
     def links(key, ids, sets):
-        """The links of one pair of blocks, or within one block."""
+        """How many links each member has in one pair of blocks, or within one block."""
         x, y = ids[key[1]], ids[key[2]] if key[1] != key[2] else ids[key[1]]
         if not x or not y:
             return None
@@ -305,10 +305,9 @@ def completed(joined: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
         n, m = (np.array([len(s) for s in k]) for k in (p, q))
         found = 100 * both >= percent * (n[:, None] + m[None, :] - both)
         if key[1] == key[2]:
-            found = np.triu(found, 1)
-        i, j = np.nonzero(found)
-        a, b = np.array(x, np.int64)[i], np.array(y, np.int64)[j]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            np.fill_diagonal(found, False)
+            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)), pa.array(found.sum(axis=1, dtype=np.int64))], names=["id", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array([*x, *y], np.int64)), pa.array(np.concatenate([found.sum(axis=1, dtype=np.int64), found.sum(axis=0, dtype=np.int64)]))], names=["id", "links"])
 
     def complete(batches):
         key, ids, sets = None, {}, {}
@@ -326,7 +325,8 @@ def completed(joined: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
         if key is not None and (out := links(key, ids, sets)) is not None:
             yield out
 
-    return groups.where("k = 2").select("a", "b").union(told.mapInArrow(complete, "a long, b long"))
+    pairs = groups.where("k = 2").select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("links"))
+    return pairs.union(told.mapInArrow(complete, "id long, links long"))
 
 
 def jaccard_classes(docs: DataFrame, id_column: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -336,8 +336,13 @@ def jaccard_classes(docs: DataFrame, id_column: str, text: str, size: int, perce
     known = base.where("id IS NOT NULL")
     sets = described(base, size, scheme)
     rows = sets.where("known").select("id", "n", "h1", "h2", F.struct(*[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY // 64)]).alias("parity"), "more")
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("class_size"))
-    named = written(rows.join(classes, ["h1", "h2", "n"], "left").select("id", "n", "parity", "more", "rep", "class_size"), "classes")
+    rows = rows.withColumn("key", F.struct("h1", "h2", "n")).drop("h1", "h2")
+    full = "n > 0 AND id IS NOT NULL"
+    classes = rows.where(full).groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("class_size"))
+    classes = classes.withColumn("rows", F.col("class_size"))
+    columns = ["id", "n", "parity", "more", "rep", "class_size"]
+    others = rows.where(f"NOT ({full}) OR id IS NULL").select("id", "n", "parity", "more", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("class_size"))
+    named = written(with_one(rows.where(full), classes, "key", "rows").select(*columns).union(others), "classes")
     of = named.where("rep IS NOT NULL").select("id", "rep", "n", "parity").distinct()
     found = candidates(known, size, scheme, counted(sets))
     apart = " + ".join(f"bit_count(x.parity.p{k} ^ y.parity.p{k})" for k in range(PARITY // 64))
@@ -396,8 +401,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     """The columns of jaccard_components, class_id (the smallest id with the same set; its own without n-grams) and n_links: how many other classes the row's class is linked with, none left out."""
     known, named, joined = jaccard_classes(docs, id_column, text, size, percent)
     classes = named.where("id = rep").select("id", "n").dropDuplicates(["id"])
-    links = completed(joined, classes, known, size, percent)
-    count = links.select(F.explode(F.array("a", "b")).alias("_end")).groupBy("_end").agg(F.count(F.lit(1)).alias("n_links"))
+    count = completed(joined, classes, known, size, percent).groupBy(F.col("id").alias("_end")).agg(F.sum("links").alias("n_links"))
     out = with_components(named, joined).join(count, F.col("rep") == F.col("_end"), "left")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", "class_size", F.coalesce("rep", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
