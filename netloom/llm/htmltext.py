@@ -13,6 +13,7 @@ import html
 import math
 import random
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import with_fields
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template noscript iframe xmp svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style title textarea template noscript iframe xmp svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math mfrac mi mn mo mrow ms mspace msqrt mstyle msub msup mtext".split())
+#: Elements that don't end a block.
+WITHIN = INLINE | {"img", "wbr"}
 #: An opening tag that ends an open element of one of these names, if no element of the second list stands between.
 ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "body": (("head",), ())}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?]|/(?![A-Za-z]))[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>|[^>]*+(?:>|\Z))", re.S)
@@ -86,7 +89,7 @@ class Page:
             self.events.append((self.stack[-1], html.unescape(raw) if "&" in raw else raw))
 
     def edge(self, tag: str) -> None:
-        if tag not in INLINE:
+        if tag not in WITHIN:
             self.events.append((self.stack[-1], None))
 
     def cut(self, names: tuple[str, ...], walls: tuple[str, ...]) -> None:
@@ -182,9 +185,16 @@ class TreeModel:
         self.weights, self.pair = weights.tolist(), [tuple(r) for r in pair.tolist()]
 
     def content(self, page: Page) -> list[bool]:
+        """Whether each element is content: more likely than not by its marginal. If no text is, the page has no part that looks like an article: all text counts then that isn't marked as something else, nor mostly links."""
         features, edges = page.features()
         w = self.weights
-        return [x > 0 for x in marginals(page.parents, [sum([w[i] for i in f]) for f in features], edges, self.pair)[0]]
+        out = [x > 0 for x in marginals(page.parents, [sum([w[i] for i in f]) for f in features], edges, self.pair)[0]]
+        if not any(text and out[k] and page.tags[k] not in RAW and text.strip() for k, text in page.events):
+            out = []
+            for k, p in enumerate(page.parents):
+                other = FEATURES["strong:bad"] in features[k] or FEATURES["links:most"] in features[k] or page.tags[k] in ("head", "title")
+                out.append((not k or out[p]) and (not k or not other))
+        return out
 
     def extract(self, text: str | None) -> str:
         if not text:
@@ -202,6 +212,7 @@ class TreeModel:
         return " ".join("".join(parts).split())
 
 
+@lru_cache(maxsize=4)
 def trained(pages: int = 240, rounds: int = 40, seed: int = 11) -> TreeModel:
     """Gradient ascent on the log likelihood of labelled pages; the gradient needs the marginals of elements and of edges."""
     rng = random.Random(seed)
@@ -293,12 +304,16 @@ def _block(rng: random.Random) -> str:
         return f"<h{(n := rng.randint(2, 4))}{y}>{_prose(rng, 1, 8, True)}</h{n}>"
     if r < 0.82:
         return f"<ul{y}>" + "".join(f"<li{y}>{inline() if rng.random() < 0.3 else _prose(rng, 1, 20)}</li>" for _ in range(rng.randint(2, 6))) + "</ul>"
-    if r < 0.87:
+    if r < 0.86:
         return f"<blockquote{y}><p{y}>{_prose(rng, 5, 50)}</p></blockquote>"
-    if r < 0.91:
+    if r < 0.89:
         return f"<table{y}>" + "".join(f"<tr{y}><td{y}>{_prose(rng, 1, 5)}</td><td{y}>{_prose(rng, 1, 5)}</td></tr>" for _ in range(rng.randint(2, 4))) + "</table>"
-    if r < 0.95:
+    if r < 0.91:
         return f"<pre{y}>{_prose(rng, 3, 40)}</pre>"
+    if r < 0.94:  # linked passages and lists belong to the text that they stand in
+        return f'<p{y}>{rng.choice([_prose(rng, 1, 3) + " ", ""])}<a{y} href="/x">{_prose(rng, 3, 20)}</a></p>'
+    if r < 0.985:
+        return f"<ul{y}>" + "".join(f'<li{y}><a{y} href="/x">{_prose(rng, 1, 6, rng.random() < 0.7)}</a></li>' for _ in range(rng.randint(2, 6))) + "</ul>"
     return f"<div{y}>{_prose(rng, 5, 80)}</div>"
 
 
@@ -324,7 +339,8 @@ def labelled_page(rng: random.Random) -> str:
 def main_texts(pages: DataFrame, column: str = "html", model: TreeModel | None = None) -> DataFrame:
     """pages with `text`, the main text of each page.
 
-    Null, empty and markup-only pages give an empty text; a page that ends within a tag loses that tag only. Pages are
+    Null, empty and markup-only pages give an empty text; text without any markup is all main text; a passage marked as a notice or warning is one, also within an article; very long pages are
+    handled whole; a page that ends within a tag loses that tag only. Pages are
     handled one by one, whole, so repeated rows get equal texts; a column `text` is replaced, other columns stay.
     """
     model = model or trained()

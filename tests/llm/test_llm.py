@@ -363,6 +363,27 @@ def test_pages(spark):
     assert {x["page_id"]: x["text"] for x in htmltext.main_texts(docs, model=model).collect()} == {1: model.extract(page), 2: "", 3: ""}
 
 
+#: Pages in other styles than the made ones, with the text that a reader would take for the article.
+PAGES = [
+    ('<html><body><article><p>First para with words, and more words. It goes on here.</p><p>one<wbr>word, x<img src=a>y.</p><p><math><mi>a</mi><mo>=</mo><mn>2</mn></math> equals, in text.</p></article></body></html>', "First para with words, and more words. It goes on here. oneword, xy. a=2 equals, in text."),
+    ("Plain text, without markup.", "Plain text, without markup."),
+    ("<p>Short.</p>", "Short."),
+    ('<body><nav><a href=1>Home</a> <a href=2>News</a></nav><article><h1>On rivers</h1><p>Rivers flow, mostly down. They end in seas.</p><p>Read <a href=x>the whole of this linked sentence here</a></p><p>They also flood, at times.</p></article><footer>Imprint</footer></body>', "On rivers Rivers flow, mostly down. They end in seas. Read the whole of this linked sentence here They also flood, at times."),
+    ('<div class="content"><h2>Sources</h2><p>These were read, all of them, for this page.</p><ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul><p>More will come, in time.</p></div><div class="sidebar"><ul><li><a href=3>Archive</a></li></ul></div>', "Sources These were read, all of them, for this page. First source Second source More will come, in time."),
+    ('<article><p>Lead, with words enough to count as one.</p><p class="note warning">Mind the gap, it is wide.</p><p>End of it, finally.</p></article>', "Lead, with words enough to count as one. End of it, finally."),
+    ('<main><h1>Soup</h1><p>Boil water.</p><ol><li>Add salt.</li><li>Stir well.</li></ol></main><div id="comments"><p>Great soup, thank you!</p></div>', "Soup Boil water. Add salt. Stir well."),
+    ('<div id="page"><div class="masthead">The Paper</div><div class="story"><p>It rained, again, on Monday. Nobody was surprised.</p><div class="advert">Buy boots</div><p>On Tuesday it didn&#39;t.</p></div><div class="footer">All rights</div></div>', "It rained, again, on Monday. Nobody was surprised. On Tuesday it didn't."),
+    ('<section class="entry-content"><p>super<wbr>cali, said slowly.</p><table><tr><td>one</td><td>two</td></tr></table><p>And so on, for lines.</p></section><div class="cookie-banner"><p>We use cookies, accept them.</p></div>', "supercali, said slowly. one two And so on, for lines."),
+    ('<nav><ul><li><a href="/">Home</a></li></ul></nav><footer>&copy; all</footer>', ""),
+]
+
+
+def test_foreign_pages():
+    model = htmltext.trained()
+    wrong = [(html, model.extract(html), text) for html, text in PAGES if model.extract(html) != text]
+    assert not wrong
+
+
 def test_sum_product_is_exact():
     """Marginals of a small tree against the sum over all labellings."""
     parents, own, edges = [-1, 0, 0, 1, 1], [0.3, -1.0, 0.5, 2.0, -0.7], [0, 1, 0, 1, 0]
