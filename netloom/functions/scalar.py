@@ -77,3 +77,19 @@ def batch_rates(values: DataFrame) -> DataFrame:
     """(layer, neuron, rate): sums over the number of the layer's batches."""
     batches = values.groupBy("layer").agg(F.count_distinct("batch").alias("n"))
     return values.groupBy("layer", "neuron").agg(F.sum("v").alias("v")).join(batches, "layer").select("layer", "neuron", F.round(F.col("v") / F.col("n"), 6).alias("rate"))
+
+
+def in_polygon(x: Column, y: Column, corners: list[tuple[int, int]]) -> Column:
+    """Whether a point lies within or on a convex polygon, given by its corners in counter-clockwise order; of one corner that point, of two their segment."""
+    sides = list(zip(corners, corners[1:] + corners[:1], strict=True))
+    box = x.between(min(c[0] for c in corners), max(c[0] for c in corners)) & y.between(min(c[1] for c in corners), max(c[1] for c in corners))
+    for (ax, ay), (bx, by) in sides:
+        box = box & ((bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0)
+    return box
+
+
+def counting_sort(df: DataFrame, key: str, order: str, name: str = "at") -> DataFrame:
+    """df with each row's place, from 0, when it is sorted by a whole number of a small range, rows of equal keys in `order`: the rows of lesser keys are counted, so that only rows of one key are ordered among themselves, in ranges."""
+    from ..operators.transform import running
+
+    return running(df.withColumn("_one", F.lit(1)), "_one", [key, order], name).withColumn(name, F.col(name).cast("long")).drop("_one")

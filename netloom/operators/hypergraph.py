@@ -27,6 +27,22 @@ class Hypergraph:
         """he_id, node, weight: sources and destinations, each node once for a hyperedge."""
         return self.pins.select("he_id", F.col("dst").alias("node"), "weight").union(self.pins.select("he_id", "source", "weight")).distinct()
 
+    def outbound(self, nodes: DataFrame) -> DataFrame:
+        """(node, he_id): the hyperedges that leave each of the nodes."""
+        return self.pins.join(nodes.select("node"), F.col("source") == F.col("node")).select("node", "he_id").distinct()
+
+    def inbound(self, nodes: DataFrame) -> DataFrame:
+        """(node, he_id): the hyperedges that enter each of the nodes."""
+        return self.pins.join(nodes.select("node"), F.col("dst") == F.col("node")).select("node", "he_id").distinct()
+
+    def touching(self, nodes: DataFrame) -> DataFrame:
+        """(node, he_id): the hyperedges that leave or enter, each once."""
+        return self.outbound(nodes).union(self.inbound(nodes)).distinct()
+
+    def with_nodes(self, more: DataFrame) -> Hypergraph:
+        """With more nodes (node); known ones aren't repeated."""
+        return Hypergraph(self.nodes.union(more.select("node")).distinct(), self.pins)
+
     def violations(self) -> DataFrame:
         """Rows of pins that name an unknown node or lack a field."""
         known = self.nodes.select(F.col("node").alias("k"))

@@ -96,9 +96,10 @@ def same_best(records: DataFrame, model: str, measured: str) -> DataFrame:
     return each.agg(F.count_if("same").alias("same_best"), F.count(F.lit(1)).alias("graphs"))
 
 
-def histogram(values: DataFrame, value: str, count: str, bins: int) -> DataFrame:
-    """(bin, n): equal bins over the positive values, each counted `count` times; the last bin is closed."""
+def histogram(values: DataFrame, value: str, count: str, bins: int, logarithmic: bool = False) -> DataFrame:
+    """(bin, n): equal bins over the positive values, or over their logarithms, each counted `count` times; the last bin is closed."""
     good = values.where(F.col(value) > 0)
+    good = good.withColumn(value, F.log10(value)) if logarithmic else good
     ends = good.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     place = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))))
     return good.crossJoin(F.broadcast(ends)).groupBy(F.coalesce(place, F.lit(0)).cast("long").alias("bin")).agg(F.sum(count).cast("long").alias("n"))
@@ -131,3 +132,58 @@ def within_band(records: DataFrame, metric: str, sigma: float = 0.5) -> DataFram
 def init_reduction(records: DataFrame, initial: str, final: str) -> DataFrame:
     """(graph, technique, reduction): what refinement took off, in percent of the initial value."""
     return records.select("graph", "technique", F.round((F.col(initial) - F.col(final)) / F.col(initial) * 100, 6).alias("reduction"))
+
+
+def relabelled(records: DataFrame, labels: dict[str, str], column: str = "technique") -> DataFrame:
+    """records with the values of a column replaced by their labels; those without one stay."""
+    if not labels:
+        return records
+    names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return records.withColumn(column, F.coalesce(F.try_element_at(names, F.col(column)), F.col(column)))
+
+
+def ratios(records: DataFrame, least: list[str], greatest: list[str] = (), by: str = "graph") -> DataFrame:  # type: ignore[assignment]
+    """Each metric over the least of its group, or over the greatest for those in `greatest`."""
+    w = Window.partitionBy(by)
+    return records.select(by, "technique", *[F.round(F.col(m) / f(m).over(w), 6).alias(m) for names, f in ((least, F.min), (greatest, F.max)) for m in names])
+
+
+def partition_ratios(records: DataFrame, metrics: list[str], order: str = "technique") -> DataFrame:
+    """(graph, partitioner, metrics over the graph's least): of a partitioner's records of a graph the first counts."""
+    first = records.withColumn("partitioner", partitioner()).withColumn("_k", F.row_number().over(Window.partitionBy("graph", "partitioner").orderBy(order))).where("_k = 1")
+    w = Window.partitionBy("graph")
+    return first.select("graph", "partitioner", *[F.round(F.col(m) / F.min(m).over(w), 6).alias(m) for m in metrics])
+
+
+def placement_ratios(records: DataFrame, part: str, metrics: list[str]) -> DataFrame:
+    """ratios among the techniques whose name contains `part`."""
+    return ratios(records.where(F.col("technique").contains(part)), metrics)
+
+
+def initial_ratios(records: DataFrame, initial: str, final: str) -> DataFrame:
+    """(graph, technique, initial, final), both over the least final value of the graph."""
+    best = F.min(final).over(Window.partitionBy("graph"))
+    return records.select("graph", "technique", F.round(F.col(initial) / best, 6).alias("initial"), F.round(F.col(final) / best, 6).alias("final"))
+
+
+def fits_by(records: DataFrame, x: str, y: str, by: Column) -> DataFrame:
+    """loglog_fit of each group, as (name, slope, intercept, pearson, n)."""
+    good = records.where((F.col(x) > 0) & (F.col(y) > 0)).select(by.alias("name"), F.log10(x).alias("lx"), F.log10(y).alias("ly"))
+    return good.groupBy("name").agg(F.round(F.regr_slope("ly", "lx"), 6).alias("slope"), F.round(F.regr_intercept("ly", "lx"), 6).alias("intercept"), F.round(F.corr("lx", "ly"), 6).alias("pearson"), F.count(F.lit(1)).alias("n"))
+
+
+def quadratic_fit(records: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: a, b, c of log10 y = a + b u + c u^2 by least squares, u = log10 x less its mean; where a power law doesn't fit."""
+    good = records.where((F.col(x) > 0) & (F.col(y) > 0)).select(F.log10(x).alias("l"), F.log10(y).alias("v"))
+    good = good.crossJoin(F.broadcast(good.agg(F.avg("l").alias("m")))).select((F.col("l") - F.col("m")).alias("u"), "v")
+    s = good.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("u") ** k).alias(f"u{k}") for k in range(1, 5)], *[F.sum(F.col("v") * F.col("u") ** k).alias(f"v{k}") for k in range(3)])
+    det = lambda p, q, r: f"({p[0]} * ({q[1]} * {r[2]} - {q[2]} * {r[1]}) - {p[1]} * ({q[0]} * {r[2]} - {q[2]} * {r[0]}) + {p[2]} * ({q[0]} * {r[1]} - {q[1]} * {r[0]}))"
+    columns = [["n", "u1", "u2"], ["u1", "u2", "u3"], ["u2", "u3", "u4"]]
+    known, whole = ["v0", "v1", "v2"], det(*columns)
+    return s.select(*[F.expr(f"round({det(*[known if j == k else columns[j] for j in range(3)])} / {whole}, 6)").alias(name) for k, name in enumerate("abc")])
+
+
+def by_size(records: DataFrame, metrics: list[str]) -> DataFrame:
+    """(size, technique, metrics over the size's least): the size is the whole number that a graph's name starts with; others are left out."""
+    size = F.regexp_extract("graph", "^([0-9]+)", 1)
+    return ratios(records.where(size != "").withColumn("size", size.cast("long")), metrics, by="size")

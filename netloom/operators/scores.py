@@ -163,3 +163,11 @@ def forces(graph: Hypergraph, placement: DataFrame) -> DataFrame:
 def active_cores(placement: DataFrame) -> DataFrame:
     """(y, xs): the used columns of each row of the lattice."""
     return placement.groupBy("y").agg(F.array_join(F.array_sort(F.collect_set("x")), ",").alias("xs"))
+
+
+def all_six(graph: Hypergraph, assignment: DataFrame, placement: DataFrame, hw: Hardware) -> DataFrame:
+    """One row: energy, latencies, mean and greatest congestion, and localities; all null if the placement isn't valid."""
+    names = ["energy", "avg_latency", "max_latency", "avg_congestion"]
+    most = congestion(graph, placement, hw).agg(F.round(F.max("load"), 3).alias("max_congestion"))
+    all_of = metrics(graph, placement, hw, names).crossJoin(F.broadcast(most)).crossJoin(F.broadcast(locality(graph, placement, hw)))  # one row each
+    return all_of.crossJoin(F.broadcast(placement_validity(assignment, placement, hw).select("valid"))).select("valid", *[F.when(F.col("valid"), F.col(c)).alias(c) for c in all_of.columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +51,52 @@ def merged_sets(sets: DataFrame, groups: DataFrame, how: str = "sum") -> DataFra
     """Sets under their groups' ids, with weights summed, or the greatest: groups (set_id, group)."""
     agg = F.sum if how == "sum" else F.max
     return sets.join(groups, "set_id").groupBy(F.col("group").alias("set_id"), "elem").agg(agg("w").alias("w"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """A banded MinHash index of weighted sets (set_id, elem, w). Immutable: insert and delete give new ones; what they cost is the new sets' signatures."""
+
+    sets: DataFrame
+    bands: DataFrame
+    n: int
+    rows: int
+
+    @classmethod
+    def of(cls, sets: DataFrame, n: int = 64, rows: int = 2) -> Index:
+        return cls(sets, banded(signatures(sets, n), rows), n, rows)
+
+    def ids(self) -> DataFrame:
+        return self.sets.select("set_id").distinct()
+
+    def size(self) -> DataFrame:
+        """One row: the number of sets."""
+        return self.sets.agg(F.count_distinct("set_id").alias("size"))
+
+    def contains(self, ids: DataFrame) -> DataFrame:
+        """ids (set_id) with `known`."""
+        return ids.join(self.ids().withColumn("known", F.lit(True)), "set_id", "left").select("set_id", F.coalesce("known", F.lit(False)).alias("known"))
+
+    def insert(self, more: DataFrame) -> Index:
+        """With more sets; those whose id is known replace the old ones."""
+        old = self.delete(more.select("set_id").distinct())
+        return Index(old.sets.unionByName(more), old.bands.unionByName(banded(signatures(more, self.n), self.rows)), self.n, self.rows)
+
+    def delete(self, ids: DataFrame) -> Index:
+        return Index(self.sets.join(ids.select("set_id"), "set_id", "left_anti"), self.bands.join(ids.select("set_id"), "set_id", "left_anti"), self.n, self.rows)
+
+    def query(self, asked: DataFrame, k: int) -> DataFrame:
+        """(set_id, other, similarity, rank): for each asked set (set_id, elem, w) the k most similar indexed ones that share a band with it, ties to the greater id."""
+        near = banded(signatures(asked, self.n), self.rows).alias("x").join(self.bands.alias("y"), ["band", "hash"]).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
+        total = lambda s, key, name: s.groupBy(F.col("set_id").alias(key)).agg(F.sum("w").alias(name))
+        x, y = asked.select(F.col("set_id").alias("a"), "elem", F.col("w").alias("wa")), self.sets.select(F.col("set_id").alias("b"), "elem", F.col("w").alias("wb"))
+        shared = near.join(x, "a").join(y, ["b", "elem"]).groupBy("a", "b").agg(F.sum(F.col("wa") + F.col("wb")).alias("shared"))
+        out = shared.join(total(asked, "a", "ta"), "a").join(total(self.sets, "b", "tb"), "b").select(F.col("a").alias("set_id"), F.col("b").alias("other"), F.round(F.col("shared") / (F.col("ta") + F.col("tb")), 9).alias("similarity"))
+        rank = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("similarity"), F.desc("other")))
+        return out.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+    def query_ids(self, ids: DataFrame, k: int) -> DataFrame:
+        """query() for indexed sets, by their ids; a set isn't its own neighbour."""
+        found = self.query(self.sets.join(ids.select("set_id"), "set_id", "left_semi"), k + 1).where("set_id <> other")
+        rank = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("similarity"), F.desc("other")))
+        return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)

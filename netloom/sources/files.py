@@ -116,6 +116,19 @@ def write_gdf(graph: Hypergraph, path: str, partitionings: dict[str, DataFrame]
     gdf_lines(graph, partitionings).orderBy("section", "n", "line").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
+def gml_lines(graph: Hypergraph) -> DataFrame:
+    """(section, n, line) of a directed GML graph: nodes, and an edge for each pin with its weight."""
+    heads = graph.nodes.sparkSession.createDataFrame([(0, -1, "graph [ directed 1"), (3, -1, "]")], "section int, n long, line string")
+    nodes = graph.nodes.select(F.lit(1).alias("section"), F.col("node").alias("n"), F.format_string("node [ id %d label \"%d\" ]", "node", "node").alias("line"))
+    edges = graph.pins.select(F.lit(2), F.col("he_id"), F.format_string("edge [ source %d target %d weight %.3f ]", "source", "dst", "weight"))
+    return heads.union(nodes).union(edges)
+
+
+def write_gml(graph: Hypergraph, path: str) -> None:
+    """The lines in order, in as many files as the sort makes."""
+    gml_lines(graph).orderBy("section", "n", "line").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
 def read_graphml(spark: SparkSession, path: str, rate_key: str = "spike_frequency") -> Hypergraph:
     """Nodes get ids by their names' order in the file; each source has one hyperedge, whose weight is the node's rate (1 without one)."""
     base = spark.read.option("attributePrefix", "_").option("valueTag", "_VALUE")

@@ -346,3 +346,34 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 1
+
+
+def test_hyperedges_of_nodes_and_new_nodes(spark):
+    g = graph(spark, 4, [(0, [1, 2], 1), (2, [2, 0], 1), (3, [1], 1)])
+    some = spark.createDataFrame([(0,), (2,)], "node long")
+    pairs = lambda df: sorted(map(tuple, df.collect()))
+    assert pairs(g.outbound(some)) == [(0, 0), (2, 1)] and pairs(g.inbound(some)) == [(0, 1), (2, 0), (2, 1)] and pairs(g.touching(some)) == [(0, 0), (0, 1), (2, 0), (2, 1)]
+    assert pairs(g.with_nodes(spark.createDataFrame([(3,), (9,)], "node long")).nodes) == [(0,), (1,), (2,), (3,), (9,)]
+
+
+def test_index(spark):
+    rows = [(s, e, 1.0 + e % 3) for s in range(8) for e in range(s // 2 * 10, s // 2 * 10 + 6)]
+    sets = spark.createDataFrame(rows, "set_id long, elem long, w double")
+    index = similarity.Index.of(sets.where("set_id < 4"), 32, 2)
+    more = index.insert(sets.where("set_id >= 3")).delete(spark.createDataFrame([(6,)], "set_id long"))
+    assert index.size().first()[0] == 4 and more.size().first()[0] == 7 and {r[0] for r in more.contains(sets.select("set_id").distinct()).where("NOT known").collect()} == {6}
+    assert {tuple(r) for r in more.query_ids(spark.createDataFrame([(0,), (3,), (7,)], "set_id long"), 2).collect()} == {(0, 1, 1.0, 1), (3, 2, 1.0, 1)}
+    assert [r["other"] for r in more.query(sets.where("set_id = 6"), 1).collect()] == [7]
+
+
+def test_polygon(spark):
+    corners = geometry.convex_hull([(1, 1), (5, 0), (7, 4), (3, 6), (3, 3)])
+    inside = scalar.diagonals(spark, 9, 9).where(scalar.in_polygon(F.col("x"), F.col("y"), corners)).count()
+    assert inside == geometry.hull_cells(corners, 9, 9)
+    assert scalar.diagonals(spark, 9, 9).where(scalar.in_polygon(F.col("x"), F.col("y"), [(1, 1), (3, 3)])).count() == 3
+
+
+def test_ordered_pipeline(spark):
+    g, hw = graph(spark, 6, [(5, [4], 1), (4, [3], 1), (3, [2, 5], 1), (2, [1], 1), (1, [0], 1)]), Hardware(2, 9, 9, 4, 4)
+    r = pipeline.run(g, hw, pipeline.REGISTRY["sequential-topological-hilbert"]).first()
+    assert r["n_parts"] == 3 and r["part_valid"] and r["placement_valid"]
