@@ -102,6 +102,9 @@ def all_six_metrics(spark, d):
     return scores.all_six(g, a, p, hw)
 
 
+ORACLES["heavy_edge_matching"] = f"WITH n AS ({ORACLES['neighbor_weights']}), b AS (SELECT u a, v b, weight FROM n UNION ALL SELECT v, u, weight FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, least(a, b), greatest(a, b)) k FROM b) SELECT least(a, b) AS u, greatest(a, b) AS v FROM r WHERE k = 1 GROUP BY 1, 2 HAVING count(*) = 2"
+
+
 # ---- index
 
 
