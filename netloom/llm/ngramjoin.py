@@ -366,9 +366,10 @@ def jaccard_classes(docs: DataFrame, id_column: str, text: str, size: int, perce
     large = found.where("entry IS NOT NULL")
     large = large.select("entry", "b", "role").union(large.select("entry", F.col("a").alias("b"), F.lit(3).cast("tinyint")).distinct())
     large = large.join(of, F.col("b") == F.col("id")).groupBy("entry", F.col("rep").alias("b")).agg(F.bit_or("role").alias("role"))
-    large = large.join(joined, F.col("b") == F.col("id"), "left").select("entry", "b", "role", F.coalesce("component", "b").alias("c"))
-    mixed = large.groupBy("entry").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("b").alias("p"), F.ceil(F.count(F.lit(1)) / MEMBERS).alias("blocks")).where("low < high").select("entry", "p", "blocks")
-    large = written(large.join(mixed, "entry").where("b > p").drop("p"), "large")  # the least member has been compared with all
+    large = written(large.join(joined, F.col("b") == F.col("id"), "left").select("entry", "b", "role", F.coalesce("component", "b").alias("c")), "members")
+    mixed = large.groupBy("entry").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("b").alias("p"), F.count(F.lit(1)).alias("rows")).where("low < high")
+    mixed = mixed.select("entry", "p", F.ceil(F.col("rows") / MEMBERS).alias("blocks"), "rows")
+    large = written(with_one(large, mixed, "entry", "rows").where("b > p").drop("p"), "large")  # the least member has been compared with all
     if not large.isEmpty():
         own = of.where("id = rep").select(F.col("id").alias("b"), "n", "parity")
         # each pair of blocks of an entry is a group of its own
