@@ -103,9 +103,14 @@ def fitted(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Lan
     if not rows:
         return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     target = np.array([languages.index(r[0]) for r in rows])
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for k, (_, bucket, count) in enumerate(rows):
-        x[k, bucket] = count / max(1, count.sum())
+    shares = [(bucket, (count / max(1, count.sum())).astype(np.float32)) for _, bucket, count in rows]
+
+    def dense(which: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(which), BUCKETS), np.float32)
+        for k, d in enumerate(which):
+            x[k, shares[d][0]] = shares[d][1]
+        return x
+
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     kept, train = order[: len(rows) // 5], order[len(rows) // 5 :]
@@ -117,7 +122,7 @@ def fitted(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Lan
         rng.shuffle(train)
         for at in range(0, len(train), step):
             batch = train[at : at + step]
-            xb = x[batch]
+            xb = dense(batch)
             hidden = xb @ embed
             z = hidden @ linear + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -130,7 +135,7 @@ def fitted(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Lan
     model = LanguageModel(languages, logits, bias.astype(np.float64))
     if not len(kept):
         return model
-    z = x[kept] @ logits + bias
+    z = np.concatenate([dense(kept[at : at + step]) @ logits for at in range(0, len(kept), step)]) + bias
 
     def softmax(t: float) -> np.ndarray:
         e = np.exp((z - z.max(axis=1, keepdims=True)) / t)
@@ -141,7 +146,7 @@ def fitted(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Lan
 
 
 def trained(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
-    """Learns from rows whose crc32(doc_id) mod 4 is not 2 and that have text and lang. About train_rows of them, as many of each language, are drawn by a hash of doc_id; the counts that set the shares cover all rows."""
+    """Learns from rows whose crc32(doc_id) mod 4 is not 2 and that have text and lang. About train_rows of them, as many of each language, are drawn by a hash of doc_id; the counts that set the shares cover all rows. One task trains; the model alone, of fixed size, comes to the driver."""
     fit = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", 4) != 2)).select("doc_id", "lang", "text")
     counts = {r[0]: r[1] for r in fit.groupBy("lang").count().collect()}  # one row a language
     if not counts:
@@ -161,9 +166,17 @@ def trained(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
                     out.append((bucket.astype("<u4").tobytes(), count.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([ids, langs, pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["doc_id", "lang", "bucket", "n"])
 
-    rows = drawn.mapInArrow(counted, "doc_id long, lang string, bucket binary, n binary").collect()  # at most about train_rows rows of at most BUCKETS counts
-    rows = sorted({(r[0], r[1], bytes(r[2]), bytes(r[3])) for r in rows})
-    return fitted([(r[1], np.frombuffer(r[2], "<u4"), np.frombuffer(r[3], "<u4")) for r in rows])
+    def fit_all(batches):
+        rows = {tuple(c[k].as_py() for c in b.columns) for b in batches for k in range(b.num_rows)}
+        m = fitted([(r[1], np.frombuffer(r[2], "<u4"), np.frombuffer(r[3], "<u4")) for r in sorted(rows)])
+        made = [list(m.languages)], [m.logits.astype("<f4").tobytes()], [m.bias.astype("<f8").tobytes()], [m.temperature], [m.least]
+        kinds = pa.list_(pa.string()), pa.binary(), pa.binary(), pa.float64(), pa.float64()
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(made, kinds, strict=True)], names=["languages", "logits", "bias", "temperature", "least"])
+
+    # about train_rows rows of at most BUCKETS counts make the one task's input
+    rows = drawn.mapInArrow(counted, "doc_id long, lang string, bucket binary, n binary").repartition(1)
+    m = rows.mapInArrow(fit_all, "languages array<string>, logits binary, bias binary, temperature double, least double").first()
+    return LanguageModel(tuple(m.languages), np.frombuffer(m.logits, "<f4").reshape(BUCKETS, len(m.languages)), np.frombuffer(m.bias, "<f8"), m.temperature, m.least)
 
 
 def predicted(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
