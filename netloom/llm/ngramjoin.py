@@ -377,8 +377,8 @@ def jaccard_classes(docs: DataFrame, id_column: str, text: str, size: int, perce
         large = large.select("entry", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "b", "role", "c").join(own, "b")
         met = "x.c <> y.c AND x.role | y.role = 3 AND (x.block < y.block OR x.block = y.block AND x.b < y.b) AND "
         pairs = large.alias("x").join(large.alias("y"), ["entry", "low", "high"]).where(met + fits)
-        links = links.union(compared(pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))))
-        joined = written(components(links), "components")
+        further_links = compared(pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")))
+        joined = written(components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(further_links)), "components")
     return known, named, joined
 
 
