@@ -3,15 +3,19 @@
 The model file, a serialised protobuf, is read field by field here. From it come the normaliser (its precompiled
 character map, white-space rules, dummy prefix), the metaspace marker U+2581, the pieces with their scores (a unigram
 model, or merges in the order of the scores for a BPE model) and byte fallback. Batches are encoded on several threads.
-Every text is encoded whole, its own ids are decoded, and `sentencepiece` encodes it whole, too, for parity.
+Where no piece goes past the end of a word, `tokenizers` encodes the words of a text one by one; so here each distinct word is
+given to it once and its ids are remembered. Every text's own ids are decoded, and `sentencepiece` encodes every text
+whole, for parity; a text for which it gives other ids is encoded whole by `tokenizers` as well.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,6 +33,12 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters that are encoded in one call of the library.
 CALL_CHARS = 1 << 20
+#: Words whose ids are remembered before those not met since are dropped, so at most about twice as many, and how long such a word can be.
+KNOWN_WORDS, KNOWN_CHARS = 1 << 18, 64
+#: Words that are encoded in a row.
+ROW_WORDS = 1 << 12
+#: The tokenizer's words of a text that starts with a marker, each without its first marker.
+WORDS = re.compile(f"{META}({META}*[^{META}]+|{META}*\\Z)")
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -183,6 +193,7 @@ class Encoder:
             from tokenizers import normalizers
 
             self.tokenizer.normalizer = normalizers.Sequence([])
+        self.by_word, self.known, self.older, self.begins = self.plain and not m.crossing, {}, {}, np.array([p.startswith(META) for p, _, _ in m.pieces])
         spaced = lambda p: p.replace(META, " ").encode()
         plain = (NORMAL, USER_DEFINED, UNUSED)
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else spaced(p) if kind in plain else None for p, _, kind in self.model.pieces]
@@ -200,14 +211,61 @@ class Encoder:
             return self.tokenizer.decode(ids, skip_special_tokens=False)
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        """ids by `tokenizers`, each text in one piece. An empty text has none."""
+        normal = [META + x.replace(" ", META) for x in texts] if self.plain else texts
+        return [e.ids if x else [] for x, e in zip(texts, self.tokenizer.encode_batch_fast(normal, add_special_tokens=False), strict=True)]
+
+    def joined(self, texts: list[str]) -> list[list[int]]:
+        """The same ids, put together from those of the words."""
+        normal = [x.replace(" ", META) for x in texts]
+        words = [[] if not x else WORDS.findall(META + x) if x[0] == META or META * 2 in x else x.split(META) for x in normal]
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.older = {}, self.known
+        fresh = set(chain.from_iterable(words)).difference(self.known)
+        again = list(filter(self.older.__contains__, fresh))
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        fresh.difference_update(again)
+        self.learn(fresh)
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, w)), np.int32).tolist() for w in words]
+        for w in fresh:
+            if len(w) > KNOWN_CHARS:
+                del self.known[w]
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """The ids of words, as bytes. Words without markers inside are given to the library in rows, and their ids parted where a piece begins with a marker."""
+        plain, alone = [w for w in words if w and META not in w], [w for w in words if not w or META in w]
+        rows = [plain[at : at + ROW_WORDS] for at in range(0, len(plain), ROW_WORDS)]
+        for row, e in zip(rows, self.tokenizer.encode_batch_fast([META + META.join(row) for row in rows], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            data, cuts = ids.tobytes(), [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), len(ids) * 4]
+            if len(cuts) == len(row) + 1:
+                self.known.update(zip(row, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+            else:  # the marker isn't a piece
+                alone += row
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast([META + w for w in alone], add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, np.int32).tobytes()
+
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[str], list[bool | None]]:
         """ids, what they decode to, and parity. An empty text has no ids in either library."""
-        normal = [META + x.replace(" ", META) for x in texts] if self.plain else texts
-        ids = [e.ids if x else [] for x, e in zip(texts, self.tokenizer.encode_batch_fast(normal, add_special_tokens=False), strict=True)]
-        same = [x == y for x, y in zip(ids, self.other.encode(texts, num_threads=1), strict=True)] if self.other else [None] * len(texts)
+        ids = self.joined(texts) if self.by_word else self.whole(texts)
+        same = [None] * len(texts)
+        if self.other:
+            other = self.other.encode(texts, num_threads=1)
+            same = [x == y for x, y in zip(ids, other, strict=True)]
+            differ = [k for k, x in enumerate(same) if not x] if self.by_word else []
+            for k, x in zip(differ, self.whole([texts[k] for k in differ]), strict=True):
+                ids[k], same[k] = x, x == other[k]
         return ids, [self.decode(x) for x in ids], same
 
 
+@lru_cache(2)
+def shared(data: bytes, threads: int, verify: bool) -> Encoder:
+    """One Encoder for all tasks that a Python worker runs, so that words are remembered from one to the next."""
+    return Encoder(data, threads, verify)
+
+
 def listed(ids: list[list[int]]) -> pa.ListArray:
     offsets = np.zeros(len(ids) + 1, np.int32)
     np.cumsum([len(x) for x in ids], out=offsets[1:])
@@ -232,7 +290,7 @@ def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", threads: in
     names = columns or out.names
 
     def encode(batches):
-        encoder = Encoder(data, threads, verify)
+        encoder = shared(data, threads, verify)
         for b in batches:
             first = 0
             for run in runs([x or "" for x in b.column(at).to_pylist()]):

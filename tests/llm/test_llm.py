@@ -240,6 +240,35 @@ def model_file(texts, kind, fallback, trim=False):
     return out + field(2, field(3, kind) + field(35, int(fallback)) + field(40, 0) + field(41, 1) + field(42, 2)) + field(3, field(1, b"identity") + field(3, 1) + field(4, int(trim)) + field(5, 1))
 
 
+def test_words_are_encoded_once(monkeypatch):
+    """The same ids as of whole texts, also of texts with odd spaces and markers, and when words are forgotten. Before, each text was encoded whole by both libraries."""
+    r, alphabet = random.Random(5), ["a", "b", "the", "é", "漢", "😀", " ", " ", "  ", "\n", "\t", pieces.META, "\x00", "0"]
+    texts = ["", " ", "  ", "a ", " a", pieces.META, "a" * 500 + " b"] + ["".join(r.choice(alphabet) for _ in range(r.randint(1, 60))) for _ in range(400)]
+    for most in (pieces.KNOWN_WORDS, 20):
+        monkeypatch.setattr(pieces, "KNOWN_WORDS", most)
+        e = pieces.Encoder(pieces.read_model(pieces.MODEL))
+        ids, same = [], []
+        for at in range(0, len(texts), 40):
+            own, _, parity = e.encode(texts[at : at + 40])
+            ids, same = ids + own, same + parity
+        assert ids == e.whole(texts) and ids == e.joined(texts) == e.other.encode(texts) and all(same)
+        assert all(len(w) <= pieces.KNOWN_CHARS for w in e.known)
+    given = []
+    e = pieces.Encoder(pieces.read_model(pieces.MODEL))
+    monkeypatch.setattr(e, "learn", lambda words, learn=e.learn: (given.extend(words), learn(words)))
+    assert e.encode(["one two one", "two one"])[0] == e.whole(["one two one", "two one"])
+    e.encode(["one three"])
+    assert sorted(given) == ["one", "three", "two"]
+
+
+def test_other_ids_of_a_text_are_replaced():
+    """A text whose words' ids aren't those that sentencepiece gives is encoded whole; parity is that of the ids given."""
+    e = pieces.Encoder(pieces.read_model(pieces.MODEL))
+    e.known["one"] = np.array([5], np.int32).tobytes()
+    ids, back, same = e.encode(["one two", "two"])
+    assert ids == e.whole(["one two", "two"]) and back == ["one two", "two"] and same == [True, True]
+
+
 @pytest.mark.parametrize("fallback", [True, False])
 @pytest.mark.parametrize("crossing", [True, False])
 @pytest.mark.parametrize("kind", [pieces.UNIGRAM, pieces.BPE])
